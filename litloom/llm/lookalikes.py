@@ -133,10 +133,11 @@ def one_form(x: Column) -> Column:
 
 
 def canonical_values(df: DataFrame, id_col: str, fields: list[str], scope: str | None = None) -> DataFrame:
-    """(field, scope, id, raw, form): each non-blank value beside its consistent form."""
+    """(field, scope, id, raw, form): each value beside its consistent form, empty if it has nothing to see."""
     values = df.select(F.col(id_col).cast("long").alias("id"), (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields])).alias("v"))
     values = values.select("id", "scope", "v.field", "v.raw").where(F.col("raw").isNotNull() & F.col("scope").isNotNull())
-    return values.withColumn("form", one_form(F.col("raw"))).where(F.col("form") != "").select("field", "scope", "id", "raw", "form")
+    # No filter on the form here: pushed below, it would normalise every value twice.
+    return values.where(F.trim("raw") != "").select("field", "scope", "id", "raw", one_form(F.col("raw")).alias("form"))
 
 
 def same_look(values: DataFrame) -> DataFrame:
@@ -145,7 +146,8 @@ def same_look(values: DataFrame) -> DataFrame:
     Only digests are written and shuffled. Classes are found with map-side combining, so a class of
     a third of all rows is no hot task; classes with one stored value are dropped before the join.
     """
-    digests = cut(values.select("field", "id", F.unhex(F.md5(F.concat_ws("\x1f", "scope", "form"))).alias("k"), F.unhex(F.md5("raw")).alias("r")))
+    digests = values.select("field", "id", F.unhex(F.md5(F.concat_ws("\x1f", "scope", "form"))).alias("k"), F.unhex(F.md5("raw")).alias("r"), (F.col("form") == "").alias("blank"))
+    digests = cut(digests).where("NOT blank").drop("blank")
     classes = digests.groupBy("field", "k").agg(F.min(F.struct("id", "r")).alias("first"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi")
     classes = classes.select("field", "k", F.col("first.id").alias("id_a"), F.col("first.r").alias("r_a"))
     return digests.join(classes, ["field", "k"]).where("r <> r_a").select("field", "id_a", F.col("id").alias("id_b"))
