@@ -109,7 +109,8 @@ def article_year(publication_year: Column | None = None, pub_year: Column | None
 
 
 def py_round(x: Column, digits: int) -> Column:
-    """Rounding of the exact binary value, half to even."""
+    """Rounding half to even, on the shortest decimal form of the value: it agrees with rounding of the exact
+    binary value but for values whose shortest form ends in a 5 just behind the last digit kept."""
     return F.call_function("format_number", x, F.lit("0." + "0" * digits)).cast("double")
 
 

@@ -122,7 +122,7 @@ def read_xml_records(spark: SparkSession, path: str, limit: int | None = None) -
     parts = spark.read.option("lineSep", f"</{RECORD}>").text(path)
     from pyspark.sql import functions as F
 
-    start = F.locate(f"<{RECORD}", F.col("value"))
+    start = F.regexp_instr("value", F.lit(rf"<{RECORD}[\s>]"))
     doc = F.concat(F.lit("<set>"), F.substring("value", start, F.length("value")), F.lit(f"</{RECORD}></set>"))
     return parse_xml(parts.where(start > 0).select(doc.alias("xml")), limit=limit)
 
