@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 MIN_SUFFIX, LONGEST = 4, 9
 #: A suffix of more listed names than this is refined; a refined key of more than that is dropped.
 COMMON, COMMON_REFINED = 8, 64
-TOKEN_RATIO, NAME_RATIO = 0.75, 0.88
+TOKEN_RATIO = 0.75
+#: Given names that an authority list may hold: a few MB.
+MOST_GIVEN = 200_000
 
 # Short forms of given names.
 NICKNAMES = {
@@ -243,28 +245,29 @@ def block_index(refs: DataFrame) -> DataFrame:
     return kept.select("kind", F.when(rare, F.col("suffix")).otherwise(F.col("refined")).alias("key"), F.col("name").alias("listed")).distinct()
 
 
+def given_names(refs: DataFrame, most: int = MOST_GIVEN) -> frozenset[str]:
+    """The distinct given names of the listed people. They go to every task, so their number is checked."""
+    words = F.explode(F.split(F.split_part("listed", F.lit(","), F.lit(2)), r"\s+"))
+    rows = refs.where("sort = 'person'").select(words.alias("g")).where(F.length("g") > 2).distinct().take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} given names in the authority list")
+    return frozenset(fold(r.g) for r in rows)
+
+
 def link(names: DataFrame, refs: DataFrame) -> DataFrame:
     """(kind, name, ref_id): distinct spellings with the listed name they mean; exact forms left out."""
     typed = names.select("kind", "name").distinct().join(refs.select("kind", F.col("listed").alias("name")), ["kind", "name"], "left_anti")
     k = _with_keys(typed, "name")
     wanted = k.select("kind", "name", F.explode(F.array("suffix", "refined")).alias("key"))
     pairs = wanted.join(block_index(refs), ["kind", "key"]).select("kind", "name", "listed").distinct().join(refs, ["kind", "listed"])
-    # Given names of the list: of bounded number, read once (a few bytes a listed person).
-    known = F.broadcast(
-        refs.where("sort = 'person'").select(F.explode(F.split(F.split_part("listed", F.lit(","), F.lit(2)), r"\s+")).alias("g")).where(F.length("g") > 2).distinct().agg(F.collect_set("g").alias("known"))
-    )
+    known = given_names(refs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: frozenset[str] | None = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            if given is None:
-                given = frozenset(fold(g) for g in b.column(5)[0].as_py())
-            score = [person_score(t, x, given) if s == "person" else title_score(t, x) for t, x, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist())]
+            score = [person_score(t, x, known) if s == "person" else title_score(t, x) for t, x, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(score, pa.float64())], names=["kind", "name", "ref_id", "score"])
 
-    scored = pairs.crossJoin(known).select("kind", "name", "listed", "ref_id", "sort", "known").mapInArrow(run, "kind string, name string, ref_id long, score double")
+    scored = pairs.select("kind", "name", "listed", "ref_id", "sort").mapInArrow(run, "kind string, name string, ref_id long, score double")
     good = scored.where(F.col("score") >= 0.8)
     top = good.groupBy("kind", "name").agg(F.max(F.struct("score", "ref_id")).alias("a"), F.min(F.struct((-F.col("score")).alias("s"), "ref_id")).alias("b"))
     # Two listed names of the same best score: the greatest and the least of them differ.
