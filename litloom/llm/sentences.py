@@ -207,8 +207,11 @@ def candidates(text: str, thai: bool) -> list[tuple[int, int, int, float]]:
     out = []
     for m in _CANDIDATE(text):
         at, end = m.start(), m.end()
-        nxt = end
-        while nxt < n and (text[nxt].isspace() or text[nxt] in _INVISIBLE):
+        begin = end
+        while begin < n and text[begin].isspace():
+            begin += 1
+        nxt = begin  # where the text goes on, for the eye
+        while nxt < n and (text[nxt] in _INVISIBLE or text[nxt].isspace()):
             nxt += 1
         if nxt >= n:
             continue
@@ -238,7 +241,7 @@ def candidates(text: str, thai: bool) -> list[tuple[int, int, int, float]]:
                 score = -4.0
             else:
                 score = 6.0
-        out.append((at, end, nxt, score))
+        out.append((at, end, begin, score))
     if thai:
         for m in _THAI_GAP(text):
             s, e = m.span()
