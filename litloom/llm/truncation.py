@@ -4,7 +4,7 @@ Method: discrete length hazards. For each source the hazard of a length L is the
 end at L among those that reach it, in characters and in bytes, computed by window functions over
 the counts of the distinct lengths. Each hazard is tested against those of neighbouring lengths, with
 false-discovery control (Benjamini-Hochberg) within the source. Endings are then classed as closed,
-open (mid-word or mid-sentence) or bare (whole without a closing mark: titles, list lines, Thai). Open
+open (mid-word or mid-sentence) or bare (whole without a closing mark: list lines, Thai). Open
 endings are cut wherever they stand, as some transfers break off at any length; bare endings and
 endings with a doubtful dot count as cut at significant lengths only.
 
@@ -26,7 +26,7 @@ from .sentences import _kind, _plain, pairs
 
 #: Neighbours of L: lengths from NEAR to FAR away on either side; nearer ones may share its limit.
 NEAR, FAR = 16, 60
-ALPHA = 0.01
+ALPHA = 0.001
 #: A significant length must end at least so many times as many texts as its neighbours let expect.
 RATIO = 5.0
 
@@ -60,7 +60,7 @@ def ending(text: str | None, kind: str | None = None) -> int:
     line = t[t.rfind("\n") + 1 :].strip()
     has_lines = "\n" in t
     if (kind or "").strip().lower() == "title" and not marked:
-        return BARE
+        return CLOSED
     if has_lines and _SIGN_OFF.match(line):
         return CLOSED if len(line) > 12 else BARE
     if has_lines and _LIST_LINE.match(line) and not marked:
@@ -139,10 +139,10 @@ def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
     lam, d = F.col("expected"), F.col("d").cast("double")
     # Chernoff's bound of the Poisson tail: conservative, so false discoveries stay controlled.
     log_p = F.when(d > lam, -(d * F.log(d / lam) - d + lam)).otherwise(zero)
-    c = c.withColumn("p", F.exp(log_p)).where("d >= 3")
-    rank = F.row_number().over(each.orderBy("p", "size"))
-    m = F.count("*").over(each)
-    c = c.withColumn("ok", F.col("p") * m / rank <= alpha)
+    # Every length is a test: the count of tests and the ranks of p include those of a single text.
+    c = c.withColumns({"p": F.exp(log_p), "m": F.count("*").over(each)})
+    c = c.withColumn("rank", F.row_number().over(each.orderBy("p", "size")))
+    c = c.withColumn("ok", F.col("p") * F.col("m") / F.col("rank") <= alpha)
     c = c.withColumn("largest", F.max(F.when(F.col("ok"), F.col("p"))).over(each))
     return c.where((F.col("p") <= F.col("largest")) & (d >= RATIO * lam)).select("source", "unit", "size", "d", "risk", "expected", "p")
 

@@ -114,7 +114,7 @@ CUT = ["It was the", "(see Suppl.", "Dr.", "approx.", "(p = 0.", "The panel aske
 def test_endings():
     assert [t for t in WHOLE if truncation.ending(t) == truncation.OPEN] == []
     assert [t for t in CUT if truncation.ending(t) != truncation.OPEN] == []
-    assert truncation.ending("Role of X in Y", "title") == truncation.BARE and truncation.ending("ผลลัพธ์") == truncation.BARE and truncation.ending("x.\nKeywords: a; b") == truncation.BARE
+    assert truncation.ending("Role of X in Y", "title") == truncation.CLOSED and truncation.ending("ผลลัพธ์") == truncation.BARE and truncation.ending("x.\nKeywords: a; b") == truncation.BARE
 
 
 DOC = "doc_id long, text string, source string, doc_kind string, how int"
