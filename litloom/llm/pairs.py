@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litloom.session import cut
+
 CHUNK = 64
 FIELDS = ("mesh_terms", "keywords")
 
@@ -77,6 +79,7 @@ def associations(items: DataFrame, min_count: int = 5) -> DataFrame:
 
 
 def found(articles: DataFrame, min_count: int = 5, min_lift: int = 4) -> DataFrame:
-    scored = associations(baskets(articles), min_count)
+    # Read by many branches: written once, as plain (field, basket, item) rows.
+    scored = associations(cut(baskets(articles)), min_count)
     kept = scored.where(F.col("n_ab").cast("decimal(38,0)") * F.col("total") >= F.lit(min_lift).cast("decimal(38,0)") * F.col("n_a") * F.col("n_b"))
     return kept.select("field", "item_a", "item_b")

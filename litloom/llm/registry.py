@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.session import table
+from litloom.session import cut, table
 
 from . import bpe, dupes, lookalikes, names, packing, pairs, ranking, sentences, truncation
 
@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_associations(spark: SparkSession, d: str) -> DataFrame:
-    out = pairs.associations(pairs.baskets(table(spark, d, "articles")), 5)
+    out = pairs.associations(cut(pairs.baskets(table(spark, d, "articles"))), 5)
     return out.select("field", "item_a", "item_b", "n_ab", "n_a", "n_b", "total", F.round("lift", 6).alias("lift"))
 
 
@@ -24,8 +24,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_copies(spark: SparkSession, d: str) -> DataFrame:
-    from litloom.session import cut
-
     keys = dupes.entity_keys(table(spark, d, "entities")).unionByName(dupes.relation_keys(table(spark, d, "relations")))
     return dupes.copies(cut(keys))
 
