@@ -24,6 +24,12 @@ PATHWAYS = (
 )
 PROCESS = r"(?iU)\b(?:apoptosis|autophagy|necrosis|ferroptosis|pyroptosis|proliferation|angiogenesis|metastasis|inflammation|differentiation)\b"
 PROTEIN = r"(?iU)\b[\w-]+\s+(?:protein|kinase|receptor|ligand|enzyme|transporter)\b"
+# What a text must hold for a pattern to match at all: plain words, found at a fraction of the cost.
+_HOLDS = (
+    "[0-9]", "(?iu)cancer|tumou?r|carcinoma|sarcoma|lymphoma|leuka?emia|melanoma|glioma|neuroblastoma", *(f"(?iu){x}" for x in ("cancer", "disease", "syndrome", "disorder")),
+    "mab", "nib", "zumab", "tinib", "(?iu)tamoxifen|cisplatin|doxorubicin|methotrexate", "PI3K|MAPK|mTOR|NF-κB|Wnt|Notch|Hedgehog|JAK|STAT|p53|Ras|ERK", *(f"(?iu){x}" for x in ("pathway", "signaling", "cascade")),
+    "(?iu)osis|phagy|ration|genesis|stasis|mation|tiation", "(?iu)protein|kinase|receptor|ligand|enzyme|transporter",
+)
 SPAN_PATTERNS = (
     (0.82, rf"(?U)\b(?:{GENE})\b"),
     *((0.86, p) for p in DISEASES),
@@ -32,6 +38,7 @@ SPAN_PATTERNS = (
     (0.78, PROCESS),
     (0.80, PROTEIN),
 )
+SPAN_HOLDS = dict(zip((p for _, p in SPAN_PATTERNS), _HOLDS, strict=True))
 GENE_STOP_WORDS = tuple("AND ARE AS AT BY DNA FOR FROM HAS HAVE IL IN IS IT NOT OF ON OR RNA THE TO USA WAS WHO WITH".split())
 KNOWN_GENES = tuple("AKT1 ALK APC BRAF BRCA1 BRCA2 CDK4 EGFR ERBB2 HER2 JAK2 KRAS MAPK1 MTOR MYC NFKB1 NRAS PIK3CA PTEN STAT3 TP53 VEGFA".split())
 

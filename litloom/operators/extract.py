@@ -23,8 +23,9 @@ _MATCHES = "array<struct<start:int,stop:int,text:string>>"
 _STRIP = r"^[ ,.;:()\[\]]+|[ ,.;:()\[\]]+\z"
 
 
-def find_all(s: Column, pattern: str) -> Column:
-    """[{start, stop, text}] of a pattern's matches, places counted from 0."""
+def find_all(s: Column, pattern: str, holds: str | None = None) -> Column:
+    """[{start, stop, text}] of a pattern's matches, places counted from 0. Texts in which ``holds`` (by
+    default the pattern itself) isn't found are told first and cost no more."""
     parts = F.split(F.regexp_replace(s, f"({pattern})", f"{_OPEN}$1{_SHUT}"), _OPEN)
 
     def step(acc: Column, part: Column) -> Column:
@@ -37,7 +38,8 @@ def find_all(s: Column, pattern: str) -> Column:
         )
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("found"))
-    return F.aggregate(parts, zero, step, lambda acc: acc["found"])
+    found = F.aggregate(parts, zero, step, lambda acc: acc["found"])
+    return F.when(s.rlike(holds or pattern), found).otherwise(F.array().cast(_MATCHES))
 
 
 def sentences(articles: DataFrame, body: Column | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def spans(s: Column) -> Column:
         def tag(m: Column, i: int = i, confidence: float = confidence) -> Column:
             return F.struct(m["start"].alias("start"), (m["start"] - m["stop"]).alias("size"), F.lit(i).alias("rule"), m["stop"].alias("stop"), F.regexp_replace(m["text"], _STRIP, "").alias("text"), F.lit(confidence).alias("confidence"))
 
-        tagged.append(F.transform(find_all(s, pattern), _unary(tag)))
+        tagged.append(F.transform(find_all(s, pattern, vocab.SPAN_HOLDS[pattern]), _unary(tag)))
     found = F.filter(F.concat(*tagged), lambda x: (x["text"] != "") & ~((x["rule"] == 0) & F.upper(x["text"]).isin(*vocab.GENE_STOP_WORDS)))
     kind = "array<struct<start:int,size:int,rule:int,stop:int,text:string,confidence:double>>"
     zero = F.struct(F.lit(0).alias("last"), F.array().cast(kind).alias("kept"))
@@ -75,7 +77,8 @@ def _unary(f: Callable) -> Callable[[Column], Column]:
 
 
 def with_spans(sents: DataFrame) -> DataFrame:
-    return sents.withColumn("spans", spans(F.col("sentence")))
+    """Behind a generator of one row, so that filters on the spans don't find them a second time."""
+    return sents.select("*", F.explode(F.array(spans(F.col("sentence")))).alias("spans"))
 
 
 def entities(tagged: DataFrame, key: str = "article_ord") -> DataFrame:

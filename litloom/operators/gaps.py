@@ -18,6 +18,7 @@ from litloom.session import cut
 from . import graph
 
 CHUNK = 256
+CODES = {t: i for i, t in enumerate(vocab.ENTITY_TYPES)}
 
 
 def allowed_pairs(pairs=None) -> set[tuple[str, str]]:
@@ -27,26 +28,48 @@ def allowed_pairs(pairs=None) -> set[tuple[str, str]]:
 
 
 def _types_allowed(a: Column, b: Column, pairs) -> Column:
-    partners: dict[str, list[str]] = {}
+    """For columns of type codes."""
+    partners: dict[int, list[int]] = {}
     for x, y in sorted(allowed_pairs(pairs)):
-        partners.setdefault(x, []).append(y)
+        if x in CODES and y in CODES:
+            partners.setdefault(CODES[x], []).append(CODES[y])
     out = F.lit(False)
     for x, ys in partners.items():
         out = out | ((a == x) & b.isin(*ys))
     return out
 
 
-def shared_neighbours(und: DataFrame, all_nodes: DataFrame, pairs=None, chunk: int = CHUNK) -> DataFrame:
-    """(node_a, node_b, types, degrees, cn, aa, ra) of unlinked pairs of allowed types, node_a < node_b."""
+def numbered(und: DataFrame, all_nodes: DataFrame) -> DataFrame:
+    """(id, node, kind, code, d): linked nodes with their degree, numbered in the order of their names.
+
+    Written through a checkpoint, so that the numbers stay what they are."""
     deg = und.groupBy("node").agg(F.count("*").alias("d"))
-    ends = und.join(all_nodes.select("node", F.col("entity_type").alias("kind")), "node").join(deg, "node").withColumnRenamed("d", "own")
-    ends = ends.join(deg.select(F.col("node").alias("nbr"), F.col("d").alias("nd")), "nbr").withColumn("k", F.ceil(F.col("nd") / chunk).cast("int"))
-    left = ends.select("nbr", "nd", F.col("node").alias("node_a"), F.col("kind").alias("node_a_type"), F.col("own").alias("degree_a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
-    right = ends.select("nbr", F.col("node").alias("node_b"), F.col("kind").alias("node_b_type"), F.col("own").alias("degree_b"), F.pmod(F.xxhash64("node"), F.col("k")).cast("int").alias("c"))
-    two = left.join(right, ["nbr", "c"]).where((F.col("node_a") < F.col("node_b")) & _types_allowed(F.col("node_a_type"), F.col("node_b_type"), pairs))
-    keys = ["node_a", "node_b", "node_a_type", "node_b_type", "degree_a", "degree_b"]
-    found = two.groupBy(*keys).agg(F.count("*").alias("cn"), F.coalesce(F.sum(F.when(F.col("nd") > 1, 1 / F.log("nd"))), F.lit(0.0)).alias("aa"), F.sum(1 / F.col("nd")).alias("ra"))
-    return found.join(und.select(F.col("node").alias("node_a"), F.col("nbr").alias("node_b")), ["node_a", "node_b"], "left_anti")
+    codes = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
+    n = all_nodes.select("node", F.col("entity_type").alias("kind"), F.coalesce(codes[F.col("entity_type")], F.lit(-1)).alias("code")).join(deg, "node")
+    return cut(n.repartitionByRange("node").sortWithinPartitions("node").withColumn("id", F.monotonically_increasing_id()))
+
+
+def shared_neighbours(und: DataFrame, all_nodes: DataFrame, pairs=None, chunk: int = CHUNK, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b, degree_a, degree_b, cn, aa, ra) of unlinked pairs of allowed types, by number, a < b.
+
+    The pairs, by far the largest rows in number, are numbers only; ``named`` gives them their names."""
+    nodes = numbered(und, all_nodes) if nodes is None else nodes
+    own = nodes.select("node", F.col("id").alias("x"), "code", F.col("d").alias("dx"))
+    ends = und.join(own, "node").join(nodes.select(F.col("node").alias("nbr"), F.col("id").alias("n"), F.col("d").alias("nd")), "nbr").select("n", "nd", "x", "code", "dx", F.ceil(F.col("nd") / chunk).cast("int").alias("k"))
+    left = ends.select("n", "nd", F.col("x").alias("a"), F.col("code").alias("ca"), F.col("dx").alias("degree_a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
+    right = ends.select("n", F.col("x").alias("b"), F.col("code").alias("cb"), F.col("dx").alias("degree_b"), F.pmod(F.xxhash64("x"), F.col("k")).cast("int").alias("c"))
+    two = left.join(right, ["n", "c"]).where((F.col("a") < F.col("b")) & _types_allowed(F.col("ca"), F.col("cb"), pairs))
+    found = two.groupBy("a", "b").agg(
+        F.min("degree_a").alias("degree_a"), F.min("degree_b").alias("degree_b"), F.count("*").alias("cn"), F.coalesce(F.sum(F.when(F.col("nd") > 1, 1 / F.log("nd"))), F.lit(0.0)).alias("aa"), F.sum(1 / F.col("nd")).alias("ra")
+    )
+    return found.join(ends.where("x < n").select(F.col("x").alias("a"), F.col("n").alias("b")), ["a", "b"], "left_anti")
+
+
+def named(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with node_a, node_b and their types."""
+    for side in "ab":
+        found = found.join(nodes.select(F.col("id").alias(side), F.col("node").alias(f"node_{side}"), F.col("kind").alias(f"node_{side}_type")), side)
+    return found.drop("a", "b")
 
 
 def score(found: DataFrame) -> DataFrame:
@@ -54,18 +77,17 @@ def score(found: DataFrame) -> DataFrame:
     j = F.col("cn") / (F.col("degree_a") + F.col("degree_b") - F.col("cn"))
     parts = {"jaccard": F.col("jaccard"), "adamic_adar": F.col("aa"), "resource_allocation": F.col("ra"), "common_neighbors": F.col("cn").cast("double")}
     total = sum((F.lit(w) * parts[m] for m, w in vocab.GAP_WEIGHTS.items()), F.lit(0.0))
-    # Sums come in any order, so their last digits may differ: ties are told by ten digits.
-    same = {m: F.round(c, 10) for m, c in parts.items()}
-    top = F.greatest(*same.values())
+    # Sums come in any order, so their last digits may differ: ties are told with some tolerance.
+    top = F.greatest(*parts.values()) - 1e-9
     method = F.lit(None).cast("string")
-    for m in reversed(parts):
-        method = F.when(same[m] == top, m).otherwise(method)
+    for m, c in reversed(parts.items()):
+        method = F.when(c >= top, m).otherwise(method)
     return found.withColumn("jaccard", j).withColumns({"score": X.py_round(total, 6), "method": method})
 
 
 def top_gaps(scored: DataFrame, k: int = 20) -> DataFrame:
-    """The k best by score, then names; a top-k, not a sort of all."""
-    return scored.orderBy(F.desc("score"), "node_a", "node_b").limit(max(k, 0))
+    """The k best by score, then names (numbers follow names); a top-k, not a sort of all."""
+    return scored.orderBy(F.desc("score"), "a", "b").limit(max(k, 0))
 
 
 def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,11 +100,12 @@ def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame) -> DataFrame
     each = pair.join(a, "node_a").join(b, ["node_b", "nbr"]).select("node_a", "node_b", "nbr")
     common = each.groupBy("node_a", "node_b").agg(F.array_sort(F.collect_list("nbr")).alias("common_neighbors"))
     at = F.explode(F.array(F.struct(F.col("object").alias("nbr"), F.lit(0).alias("side")), F.struct(F.col("subject").alias("nbr"), F.lit(1).alias("side"))))
-    incident = edges.select("pmids", F.array_max("years").alias("y"), "first_ord", at.alias("e")).select("pmids", "y", "first_ord", "e.*")
-    items = each.join(incident, "nbr")
-    year = items.groupBy("node_a", "node_b").agg(F.max("y").cast("int").alias("max_year"))
-    pm = items.select("node_a", "node_b", "nbr", "side", "first_ord", F.posexplode("pmids").alias("p", "pmid"))
-    first = pm.groupBy("node_a", "node_b", "pmid").agg(F.min(F.struct("nbr", "side", "first_ord", "p")).alias("o"))
+    incident = edges.select("pmids", F.array_max("years").alias("y"), "first_ord", at.alias("e")).select("pmids", "y", "first_ord", "e.*").join(each.select("nbr").distinct(), "nbr", "left_semi")
+    # Merged for each neighbour first: pairs share most of their neighbours.
+    last = incident.groupBy("nbr").agg(F.max("y").alias("y"))
+    of_nbr = incident.select("nbr", "side", "first_ord", F.posexplode("pmids").alias("p", "pmid")).groupBy("nbr", "pmid").agg(F.min(F.struct("side", "first_ord", "p")).alias("o"))
+    year = each.join(last, "nbr").groupBy("node_a", "node_b").agg(F.max("y").cast("int").alias("max_year"))
+    first = each.join(of_nbr, "nbr").groupBy("node_a", "node_b", "pmid").agg(F.min(F.struct("nbr", "o")).alias("o"))
     pm = first.groupBy("node_a", "node_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "pmid"))), lambda x: x["pmid"]).alias("evidence_pmids"))
     out = top.join(common, ["node_a", "node_b"], "left").join(year, ["node_a", "node_b"], "left").join(pm, ["node_a", "node_b"], "left")
     return out.withColumn("evidence_pmids", F.coalesce("evidence_pmids", F.array().cast("array<string>")))
@@ -137,7 +160,8 @@ def find_gaps(rows: DataFrame, cutoff: int | None = None, top_k: int = 20, pairs
     # Read by many branches below: made once, and safe against the loss of an executor.
     edges = cut(edges)
     und = cut(graph.undirected(edges))
-    top = cut(top_gaps(score(shared_neighbours(und, graph.nodes(rows), pairs)), top_k))
+    nodes = numbered(und, graph.nodes(rows))
+    top = cut(named(top_gaps(score(shared_neighbours(und, nodes, pairs, nodes=nodes)), top_k), nodes))
     full = cut(with_evidence(top, und, edges))
     full = full.withColumns({"n_pmids": F.size("evidence_pmids"), "n_common": F.size("common_neighbors")})
     out = novelty(full, und, graph.negative_edges(rows), cutoff)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litloom.functions import text as X
 from litloom.functions import vocab
 from litloom.operators import analysis, clean, extract, gaps, graph, hypotheses, nested
-from litloom.session import cut, table
+from litloom.session import cut, spread, table
 from litloom.sources import articles as sources
 from litloom.sources import sinks, xml
 
@@ -103,14 +103,14 @@ def sources_xml(a: DataFrame) -> DataFrame:
 
 
 def p6_found(spark, d):
-    return nested.flatten(table(spark, d, "raw_records"))
+    return nested.flatten(spread(table(spark, d, "raw_records")))
 
 
 # --- extraction -----------------------------------------------------------------------------------
 
 
 def _tagged(spark, d):
-    a = clean.clean_articles(table(spark, d, "articles"), this_year=F.lit(THIS_YEAR), preserve_case=True)
+    a = clean.clean_articles(spread(table(spark, d, "articles")), this_year=F.lit(THIS_YEAR), preserve_case=True)
     return extract.with_spans(extract.sentences(a.select("article_ord", "pmid", "year", "title", "abstract")))
 
 
@@ -191,7 +191,9 @@ def _und(spark, d):
 
 def gap_scores(spark, d):
     und, nodes, _ = _und(spark, d)
-    s = gaps.score(gaps.shared_neighbours(und, nodes))
+    und = cut(und)
+    numbers = gaps.numbered(und, nodes)
+    s = gaps.named(gaps.score(gaps.shared_neighbours(und, nodes, nodes=numbers)), numbers)
     return s.select("node_a", "node_b", "node_a_type", "node_b_type", F.col("cn").alias("common_neighbors"), F.round("jaccard", 6).alias("jaccard"), F.round("aa", 6).alias("adamic_adar"), F.round("ra", 6).alias("resource_allocation"), "score", "method")
 
 

@@ -95,7 +95,8 @@ def test_gaps_against_plain_version(spark):
     rows = [rel(a, b, str(i), st=kinds[a], ot=kinds[b]) for i, (a, b) in enumerate(sorted(links)) if a != b]
     ev = graph.evidence(relations(spark, rows))
     und = graph.undirected(ev)
-    got = {(r.node_a, r.node_b): (r.cn, round(r.aa, 9), round(r.ra, 9), round(r.jaccard, 9), r.score, r.method) for r in gaps.score(gaps.shared_neighbours(und, graph.nodes(ev), chunk=5)).collect()}
+    numbers = gaps.numbered(und, graph.nodes(ev))
+    got = {(r.node_a, r.node_b): (r.cn, round(r.aa, 9), round(r.ra, 9), round(r.jaccard, 9), r.score, r.method) for r in gaps.named(gaps.score(gaps.shared_neighbours(und, graph.nodes(ev), chunk=5, nodes=numbers)), numbers).collect()}
     nb = {}
     for a, _, b, *_ in rows:
         nb.setdefault(a.lower(), set()).add(b.lower())
