@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litloom.session import cut, table
+from litloom.session import cut, spread, table
 
 from . import bpe, dupes, lookalikes, names, packing, pairs, ranking, sentences, truncation
 
@@ -29,11 +29,11 @@ def p2_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.found(table(spark, d, "articles"), table(spark, d, "relations"))
+    return sentences.found(spread(table(spark, d, "articles")), spread(table(spark, d, "relations")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.found(table(spark, d, "articles"), table(spark, d, "entities"))
+    return lookalikes.found(spread(table(spark, d, "articles")), spread(table(spark, d, "entities")))
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -54,19 +54,19 @@ def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_corpus(table(spark, d, "documents"))
+    return bpe.encode_corpus(spread(table(spark, d, "documents")))
 
 
 def p9_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"))
+    return packing.pack_documents(spread(table(spark, d, "documents")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.found(table(spark, d, "documents"))
+    return truncation.found(spread(table(spark, d, "documents")))
 
 
 def p10_sources(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.sources(table(spark, d, "documents"))
+    return truncation.sources(spread(table(spark, d, "documents")))
 
 
 _BASKETS = r"""
