@@ -239,7 +239,7 @@ def hypothesis_generate(spark, d):
     r = table(spark, d, "relations")
     g = cut(gaps.find_gaps(graph.evidence(r), top_k=20))
     h = hypotheses.run(g, r, "KLV53", 20, source=X.node_key(F.col("subject")), target=X.node_key(F.col("object")))
-    return h.select("hypothesis_id", "node_a", "node_b", "hypothesis", "gap_novelty", "novelty_status", F.size("supporting_evidence").alias("n_supporting"), F.size("contradicting_evidence").alias("n_contradicting"), F.round("evidence_score", 6).alias("evidence_score"), "novelty_score", "plausibility_score", "feasibility_score", F.round("final_score", 6).alias("final_score"), "confidence")
+    return h.select("hypothesis_id", "node_a", "node_b", "hypothesis", "gap_novelty", "novelty_status", F.size("supporting_evidence").alias("n_supporting"), F.size("contradicting_evidence").alias("n_contradicting"), F.round("evidence_score", 6).alias("evidence_score"), "novelty_score", "plausibility_score", "feasibility_score", F.round("final_score", 6).alias("final_score"), F.round((F.col("evidence_score") + F.col("novelty_score") + F.col("plausibility_score")) / 3, 6).alias("mean_score"))
 
 
 def evidence_join(spark, d):
@@ -456,6 +456,42 @@ def _list_sql(c: str) -> str:
     return f"(SELECT coalesce(string_agg(v, ';' ORDER BY p), '') FROM (SELECT {item} AS v, min(u.p) AS p FROM (SELECT unnest({c}) AS v, generate_subscripts({c}, 1) AS p) u WHERE u.v IS NOT NULL GROUP BY 1) w WHERE v <> '')"
 
 
+def _hypothesis_sql() -> str:
+    """Scored hypotheses of the gaps, evidence joined by subject and object."""
+
+    def filled(text: str) -> str:
+        out = "'" + text.replace("'", "''") + "'"
+        for name, x in (("{a}", "node_a"), ("{b}", "node_b"), ("{via}", "via")):
+            out = f"replace({out}, '{name}', {x})"
+        return out
+
+    t = hypotheses.TEMPLATES
+    texts, feasible = "", ""
+    for reverse in (False, True):
+        for (x, y), parts in t.items():
+            x, y = (y, x) if reverse else (x, y)
+            when = f" WHEN node_a_type = '{x}' AND node_b_type = '{y}' THEN "
+            texts += when + filled(parts[0])
+            feasible += when + str(next((v for v, cues in vocab.FEASIBILITY if any(c in parts[3].lower() for c in cues)), vocab.FEASIBILITY_DEFAULT))
+    other = next(v for v, cues in vocab.FEASIBILITY if any(c in hypotheses.DEFAULT_TEMPLATE[3].lower() for c in cues))
+    kind = " ".join(f"WHEN {{0}} IN ({_in(m)}) THEN '{g}'" for g, m in vocab.TYPE_GROUPS.items())
+    novelty = " ".join(f"WHEN '{k}' THEN {v}" for k, v in vocab.NOVELTY_SCORES.items())
+    w = vocab.FINAL_WEIGHTS
+    return f""", r AS (SELECT {_key('subject')} AS s, {_key('object')} AS o, coalesce(pmid, '') AS pmid, coalesce(sentence, '') AS t, publication_year AS y FROM relations)
+, g AS (SELECT *, string_split(common_neighbors, ';') AS l FROM gaps)
+, m AS (SELECT node_a, node_b, regexp_matches(t, '(?i)\\b(no association|not associated|no effect|did not|failed to|absence of|unrelated)\\b') AS con, pmid, t, y FROM g JOIN r ON s = node_a OR s = node_b OR o = node_a OR o = node_b
+    WHERE ((node_a = s OR node_a = o) AND (node_b = s OR node_b = o)) OR list_contains(l, s) OR list_contains(l, o))
+, c AS (SELECT node_a, node_b, count(DISTINCT (pmid, t, y)) FILTER (NOT con) AS n, count(DISTINCT (pmid, t, y)) FILTER (con) AS k, count(DISTINCT pmid) FILTER (NOT con) AS d FROM m GROUP BY 1, 2)
+, h AS (SELECT g.*, coalesce(n, 0) AS n, coalesce(k, 0) AS k, coalesce(d, 0) AS d, CASE {kind.format('node_a_type')} ELSE lower(node_a_type) END AS xa, CASE {kind.format('node_b_type')} ELSE lower(node_b_type) END AS xb,
+    CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN concat(l[1], ' and ', l[2]) WHEN 3 THEN array_to_string(l, ', ') ELSE concat(array_to_string(l[1:3], ', '), ', and related intermediates') END AS via FROM g LEFT JOIN c USING (node_a, node_b))
+, h2 AS (SELECT *, CASE WHEN k > 0 AND k >= n THEN 'CONTRADICTED' WHEN n >= 5 THEN 'KNOWN' WHEN n >= 3 THEN 'PARTIALLY_SUPPORTED' WHEN n >= 1 THEN 'INDIRECTLY_SUPPORTED' ELSE 'UNEXPLORED' END AS ns,
+    greatest(0, least(1, least(n, 10) / 10 * 0.6::DOUBLE + d / greatest(n, 1) * 0.4::DOUBLE - least(k, 5) / 5 * 0.3::DOUBLE)) AS e,
+    greatest(0, least(1, least(len(l), 5) / 5 + CASE WHEN (xa, xb) IN (('gene', 'disease'), ('disease', 'gene'), ('drug', 'gene'), ('gene', 'drug')) THEN 0.2::DOUBLE ELSE 0 END)) AS p, (CASE {feasible} ELSE {other} END)::DOUBLE AS f FROM h)
+, h3 AS (SELECT *, (CASE ns {novelty} END)::DOUBLE AS v FROM h2)
+SELECT md5(concat(node_a, ':', node_b, ':KLV53'))[1:12] AS hypothesis_id, node_a, node_b, CASE {texts} ELSE {filled(hypotheses.DEFAULT_TEMPLATE[0])} END AS hypothesis, novelty_status AS gap_novelty, ns AS novelty_status, n AS n_supporting, k AS n_contradicting,
+    round(e, 6) AS evidence_score, v AS novelty_score, p AS plausibility_score, f AS feasibility_score, round({w['evidence_score']}::DOUBLE * e + {w['novelty_score']}::DOUBLE * v + {w['plausibility_score']}::DOUBLE * p + {w['feasibility_score']}::DOUBLE * f, 6) AS final_score, round((e + v + p) / 3, 6) AS mean_score FROM h3"""
+
+
 def oracle_sql() -> dict[str, str]:
     low = "lower(sentence)"
     und_all = _und_sql("und", "ev", "layer <> 'negative'")
@@ -527,6 +563,11 @@ def oracle_sql() -> dict[str, str]:
               SELECT {_key('subject')} AS s, {_key('object')} AS o, coalesce(pmid, '') AS pmid, coalesce(sentence, '') AS t, publication_year AS y FROM relations)
             SELECT a AS node_a, b AS node_b, regexp_matches(t, '(?i)\\b(no association|not associated|no effect|did not|failed to|absence of|unrelated)\\b') AS contradicts, count(DISTINCT (pmid, t, y)) AS n
             FROM h JOIN r ON (a = s OR a = o) AND (b = s OR b = o) WHERE a <> '' AND b <> '' GROUP BY ALL""",
+        "hypothesis_generate": _gap_query(20, None) + _hypothesis_sql(),
+        "run_metadata": _gap_query(50, None) + f"""SELECT (SELECT count(*) FROM articles) AS n_articles, (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM relations) AS n_relations,
+            (SELECT count(*) FROM relations WHERE sentence <> '') AS n_evidence_claims, (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM (SELECT DISTINCT layer, s, o FROM ev WHERE layer <> 'negative')) AS n_edges,
+            (SELECT count(*) FROM (SELECT DISTINCT s, o FROM ev WHERE layer = 'biological')) AS n_biological_edges, (SELECT count(*) FROM gaps) AS n_gaps, (SELECT count(*) FROM hypotheses) AS n_hypotheses,
+            (SELECT concat(min(nullif(year, 0)), '–', max(nullif(year, 0))) FROM articles) AS years_covered, 'KLV53' AS query, {CUTOFF} AS cutoff_year""",
         "hypothesis_scores": f"""SELECT hypothesis_id, generated_at, round(greatest(0, least(1, least({sup}, 10) / 10 * 0.6::DOUBLE + len(list_distinct(list_transform(coalesce(supporting_evidence, []), lambda x: x.pmid))) / greatest({sup}, 1) * 0.4::DOUBLE - least({con}, 5) / 5 * 0.3::DOUBLE)), 6) AS evidence,
             (CASE upper(novelty_status) {novelty} ELSE 0.6 END)::DOUBLE AS novelty, (CASE {feasible} ELSE 0.5 END)::DOUBLE AS feasibility, {bucket} AS level,
             concat(repeat('█', round_even(least(1, greatest(0, confidence)) * 10, 0)::INT), repeat('░', 10 - round_even(least(1, greatest(0, confidence)) * 10, 0)::INT)) AS bar FROM hypotheses""",
