@@ -103,6 +103,23 @@ WITH e AS (
 """
 
 
+_SCORES = ranking.SCORES
+_MISSING = {c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END" for c in _SCORES}
+_RANKED = (
+    "WITH l AS (SELECT hypothesis_id, unnest(arg_max({'query': query, " + ", ".join(f"'{c}': {x}" for c, x in _MISSING.items()) + "}, generated_at)) FROM hypotheses WHERE hypothesis_id IS NOT NULL GROUP BY 1), "
+    "m AS (SELECT query, " + ", ".join(f"quantile_disc({c}, 0.5) AS m_{c}, min({c}) AS lo_{c}" for c in _SCORES) + " FROM l GROUP BY 1), "
+    "lm AS (SELECT l.*, m.* EXCLUDE (query) FROM l JOIN m ON l.query IS NOT DISTINCT FROM m.query), "
+    "d AS (SELECT query, " + ", ".join(f"quantile_disc(abs({c} - m_{c}), 0.5) AS d_{c}, avg(abs({c} - m_{c})) AS a_{c}" for c in _SCORES) + " FROM lm GROUP BY 1), "
+    "z AS (SELECT lm.query, lm.hypothesis_id, "
+    + ", ".join(
+        f"coalesce((coalesce({c}, lo_{c}) - m_{c}) / CASE WHEN d_{c} > 0 THEN {ranking.MAD_SCALE} * d_{c} WHEN a_{c} > 0 THEN {ranking.MEAN_SCALE} * a_{c} END, 0) - CASE WHEN {c} IS NULL AND lo_{c} IS NOT NULL THEN 1 ELSE 0 END AS z_{c}"
+        for c in _SCORES
+    )
+    + " FROM lm JOIN d ON lm.query IS NOT DISTINCT FROM d.query), "
+    "s AS (SELECT query, hypothesis_id, " + " + ".join(f"(CASE WHEN z_{c} < -30 THEN z_{c} ELSE -ln(1 + exp(-z_{c})) END)" for c in _SCORES) + " AS total FROM z) "
+)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_associations, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources)}
 
@@ -111,6 +128,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _BASKETS + "SELECT field, item_a, item_b FROM s WHERE n_ab * total >= 4 * n_a * n_b",
         "p1_associations": _BASKETS + "SELECT * FROM s",
+        "p7_found": _RANKED + "SELECT query, hypothesis_id FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY total DESC, hypothesis_id) = 1",
         "p2_found": _COPIES + "SELECT tab, id_a, id AS id_b FROM (SELECT tab, id, min(id) OVER (PARTITION BY tab, k) AS id_a FROM x) WHERE id_a <> id",
         "p2_copies": _COPIES + "SELECT tab, min(id) AS id, count(*) AS n_copies FROM x GROUP BY tab, k",
     }
