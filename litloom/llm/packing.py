@@ -7,8 +7,8 @@ container is downsized to the smallest permitted length that holds its contents.
 
 A document is split only if it is longer than the largest permitted length. Documents of zero
 tokens (null or empty text) take a place in some container. Only ids and sizes are shuffled; each
-partition packs its own items, so a container never spans partitions and the loss is at most
-the last few containers of a partition.
+partition packs its own items in blocks, so a container never spans partitions and the loss is at
+most the last few containers of a block.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ CAPACITY = 1024
 LENGTHS = (256, 512, 1024)
 #: Cost of a container besides its length, in tokens: few large ones are better than many small ones.
 OVERHEAD = 64
+#: Items packed together: bounds a task's memory; the loss is at most the last containers of a block.
+BLOCK_ITEMS = 1_000_000
 
 
 def best_fit(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -77,24 +79,35 @@ def pack(sizes: DataFrame, lengths: Sequence[int] = LENGTHS, overhead: int = OVE
     items = (
         sizes.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
         .select("doc_id", "part", F.least(F.lit(top), F.col("n") - F.col("part") * top).cast("int").alias("part_tokens"))
-        .repartition(F.xxhash64("doc_id", "part"))
+        .hint("rebalance", "doc_id")  # partitions of even size, however large the corpus and whatever the keys
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        ids, part, size = (t.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((part, ids, -size))
-        where, final = best_fit(size[order], lengths, overhead)
-        used = np.bincount(where, weights=size[order], minlength=len(final)).astype(np.int64)
         base = TaskContext.get().partitionId() << 33
-        out = pa.table({
-            "doc_id": ids[order], "part": part[order].astype(np.int32), "part_tokens": size[order].astype(np.int32),
-            "container": where + base, "length": final[where].astype(np.int32), "used": used[where].astype(np.int32),
-        })
-        yield from out.to_batches(max_chunksize=100_000)
+        block: list[pa.RecordBatch] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal base
+            t = pa.Table.from_batches(block)
+            block.clear()
+            ids, part, size = (t.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((part, ids, -size))
+            where, final = best_fit(size[order], lengths, overhead)
+            used = np.bincount(where, weights=size[order], minlength=len(final)).astype(np.int64)
+            out = pa.table({
+                "doc_id": ids[order], "part": part[order].astype(np.int32), "part_tokens": size[order].astype(np.int32),
+                "container": where + base, "length": final[where].astype(np.int32), "used": used[where].astype(np.int32),
+            })
+            base += len(final)
+            yield from out.to_batches(max_chunksize=100_000)
+
+        for b in batches:
+            if b.num_rows:
+                block.append(b)
+            if sum(x.num_rows for x in block) >= BLOCK_ITEMS:
+                yield from packed()
+        if block:
+            yield from packed()
 
     return items.mapInArrow(run, "doc_id long, part int, part_tokens int, container long, length int, used int")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from litloom.session import cut
 
-from .sentences import _kind, _plain, pairs
+from .sentences import _INVISIBLE, _kind, _plain, pairs
 
 #: Neighbours of L: lengths from NEAR to FAR away on either side; nearer ones may share its limit.
 NEAR, FAR = 16, 60
@@ -49,6 +49,8 @@ def ending(text: str | None, kind: str | None = None) -> int:
     if text is None:
         return CLOSED
     t = text.rstrip()
+    while t and t[-1] in _INVISIBLE:
+        t = t[:-1].rstrip()
     if not t:
         return CLOSED
     m = _MARK.search(t)

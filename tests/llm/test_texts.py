@@ -107,7 +107,7 @@ def test_same_look(spark):
     assert lookalikes.found(art.limit(0), ent.limit(0)).count() == 0
 
 
-WHOLE = ["It ended.", "Was it (nausea, rash, etc.).", "x.\n\n-- end of abstract --", "x.\nSee also [a, b]", "x.\n© The Study Group", "x.\nRegistered as KR-000005886", "dosed b.i.d.", "Il persiste. »", "和。", "है।", 'He said "yes."', "x.\nFunding: a / b (none declared)", "", "  ", None]
+WHOLE = ["It ended.", "Was it (nausea, rash, etc.).", "x.\n\n-- end of abstract --", "x.\nSee also [a, b]", "x.\n© The Study Group", "x.\nRegistered as KR-000005886", "dosed b.i.d.", "Il persiste. »", "和。", "है।", 'He said "yes."', "x.\nFunding: a / b (none declared)", "", "  ", None, "It ended.\u200b", "\ufeff"]
 CUT = ["It was the", "(see Suppl.", "Dr.", "approx.", "(p = 0.", "The panel asked: 'Why X1?", "It en…", "It was [more]", "It was (truncated)", "ab�", "d. h", "与PF14相关", "x.\nSee also [a, b", "We e...", "i.e.", "was 4%,"]
 
 
