@@ -12,7 +12,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,3 +247,20 @@ def score_bar(score: Column, cells: int = 10) -> Column:
 def strip_fence(x: Column) -> Column:
     """A model's answer without its code fence."""
     return F.regexp_replace(F.regexp_replace(collapse_outer(text(x)), r"(?i)^```(?:json)?\s*", ""), r"\s*```\z", "")
+
+
+def first_present(df: DataFrame, *names: str, default: Column | None = None) -> Column:
+    """The first non-null value among those of the named columns that df has."""
+    there = {c.lower() for c in df.columns}
+    cols = [df[n] for n in names if n.lower() in there]
+    return F.coalesce(*cols, F.lit(None) if default is None else default)
+
+
+def sentence_at(sentences: Column, place: Column) -> Column:
+    """Of [{start, stop, text}] the text of the one that holds the place."""
+    return F.try_element_at(F.filter(sentences, lambda s: (s["start"] <= place) & (place < s["stop"])), F.lit(1))["text"]
+
+
+def evidence_items(items: Column) -> Column:
+    """[{pmid, sentence, year as text}] with years resolved, each item once, in order."""
+    return F.array_distinct(F.transform(items, lambda e: F.struct(text(e["pmid"]).alias("pmid"), text(e["sentence"]).alias("sentence"), year_in_text(e["year"].cast("string")).alias("year"))))

@@ -47,6 +47,11 @@ def load_json(spark: SparkSession, path: str, this_year: Column | None = None) -
     )
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Any JSON document or list of objects."""
+    return spark.read.option("multiLine", "true").json(path)
+
+
 SAMPLE = (
     ("30000001", "TP53 activates CDKN1A in breast cancer", "TP53 activates CDKN1A. Loss of TP53 was associated with breast cancer.", ["Ames, Ada", "Borg, Ben"], "Sample Oncology", 2021, ["Breast Neoplasms / genetics", "Apoptosis"], ["TP53", "CDKN1A", "breast cancer", "apoptosis"], "10.0000/s.1"),
     ("30000002", "MDM2 inhibits TP53", "MDM2 inhibits TP53 in melanoma. BRCA1 may activate TP53.", ["Cole, Cy", "Dahl, Di"], "Sample Genetics", 2022, ["Melanoma"], ["MDM2", "TP53", "melanoma", "BRCA1"], None),
@@ -172,3 +177,15 @@ class ArticleService(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArticleService)
+
+
+def retrieve_and_clean(spark: SparkSession, query: str, settings, max_results: int | None = None, transport: str | None = None, **cleaning) -> DataFrame:
+    """Articles of a query from the service, cleaned; with the order in which they came."""
+    from litloom.operators.clean import clean_articles
+
+    register(spark)
+    options = {"query": query, "maxResults": str(max_results or settings.max_results), "batchSize": str(settings.batch_size), "email": settings.entrez_email, "apiKey": settings.entrez_api_key, "interval": str(settings.min_interval)}
+    if transport:
+        options["transport"] = transport
+    found = spark.read.format("litloom_articles").options(**options).load()
+    return clean_articles(found.withColumn("article_ord", F.monotonically_increasing_id()), **cleaning)

@@ -111,6 +111,13 @@ def test_service_source(spark):
     assert df.count() == 4  # two batches, each answered with both records
 
 
+def test_retrieve_and_clean(spark, tmp_path):
+    got = sources.retrieve_and_clean(spark, "q", Settings(), transport="tests.test_sources:fake_get", this_year=F.lit(2026)).collect()
+    assert [(r.pmid, r.title) for r in got] == [("99999999", "a b c")]  # the other record has no text
+    (tmp_path / "x.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert sources.read_json(spark, str(tmp_path / "x.json")).count() == 2
+
+
 def test_settings():
     s = Settings.from_env({"MAX_RESULTS": "7", "BATCH_SIZE": "x", "HISTORICAL_CUTOFF_YEAR": "3000", "ENTREZ_API_KEY": "k"}, 2026)
     assert (s.max_results, s.batch_size, s.historical_cutoff_year, s.min_interval) == (7, 100, None, .1)

@@ -102,3 +102,9 @@ def test_vocabulary():
 @pytest.mark.parametrize("answer", ["```json\n{\"a\": 1}\n```", "{\"a\": 1}", "```\n{\"a\": 1}```"])
 def test_fence(spark, answer):
     assert values(spark, X.strip_fence(F.col("x")), [answer]) == ['{"a": 1}']
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(None, "b", [(0, 5, "one"), (5, 9, "two")], [("1", "s", "in 2019"), ("1", "s", "2019"), (None, None, None)])], "x string, y string, s array<struct<start:int,stop:int,text:string>>, e array<struct<pmid:string,sentence:string,year:string>>")
+    r = df.select(X.first_present(df, "nope", "x", "y").alias("f"), X.sentence_at(F.col("s"), F.lit(5)).alias("t"), X.sentence_at(F.col("s"), F.lit(9)).alias("n"), X.evidence_items(F.col("e")).alias("e")).first()
+    assert (r.f, r.t, r.n) == ("b", "two", None) and [tuple(x) for x in r.e] == [("1", "s", 2019), ("", "", None)]
