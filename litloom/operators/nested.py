@@ -112,7 +112,7 @@ class Index:
         valid[doc[(depth < 0) | ((depth == 0) & ~last) | ((depth > 0) & last)]] = False
 
         # Containers: within (payload, level) the latest opening bracket before a token.
-        level = np.where(is_open, depth - 1, np.where(is_close, depth, depth))  # level a token lies at
+        level = np.where(is_open, depth - 1, depth)  # level a token lies at
         opens = np.flatnonzero(is_open)
         who = np.concatenate([np.arange(m), opens, np.flatnonzero(is_close)])
         role = np.concatenate([np.zeros(m, np.int8), np.ones(len(opens), np.int8), np.full(int(is_close.sum()), 2, np.int8)])
@@ -141,10 +141,9 @@ class Index:
         prev_key = np.concatenate([[False], is_key[:-1]]) if m else is_key
         in_obj, in_arr = pk == 0x7B, pk == 0x5B
         ended = (prev == SCALAR) | (prev == 0x7D) | (prev == 0x5D) | ((prev == 0x22) & ~prev_key)
-        closes_own = is_close
         close_ok = (prev == 0x7B) & (k == 0x7D) | (prev == 0x5B) & (k == 0x5D) | ended
         ok = np.where(prev == 0, k == 0x7B, False)
-        ok |= closes_own & close_ok
+        ok |= is_close & close_ok
         ok |= is_key
         ok |= (k == 0x3A) & prev_key & in_obj
         ok |= (k == 0x2C) & ended & (in_obj | in_arr)
@@ -171,7 +170,6 @@ class Index:
         self.key = np.full(m, -1, np.int16)
         v = np.flatnonzero(self.value & in_obj)
         self.key[v] = name[v - 2]
-        commas = np.concatenate([[0], np.cumsum((k == 0x2C))])
         self.place = np.zeros(m, np.int64)
         arr = np.flatnonzero(self.value & in_arr)
         if len(arr):  # values of one array, in order
@@ -179,7 +177,6 @@ class Index:
             fresh = np.concatenate([[True], parent[o[1:]] != parent[o[:-1]]])
             run = np.arange(len(o))
             self.place[o] = run - np.maximum.accumulate(np.where(fresh, run, 0))
-        del commas
         self.roots = token_start[np.flatnonzero(valid)]
         # Children by (parent, key); of a repeated key the last.
         named = np.flatnonzero(self.key >= 0)
