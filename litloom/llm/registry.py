@@ -19,6 +19,12 @@ def p1_associations(spark: SparkSession, d: str) -> DataFrame:
     return out.select("field", "item_a", "item_b", "n_ab", "n_a", "n_b", "total", F.round("lift", 6).alias("lift"))
 
 
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of items carried together, however rare; p1_associations has those of 5 baskets and more."""
+    out = pairs.associations(cut(pairs.baskets(table(spark, d, "articles"))), 1)
+    return out.select("field", "item_a", "item_b", "n_ab", "n_a", "n_b", "total", F.round("lift", 6).alias("lift"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return dupes.found(table(spark, d, "entities"), table(spark, d, "relations"))
 
@@ -121,13 +127,14 @@ _RANKED = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_associations, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _BASKETS + "SELECT field, item_a, item_b FROM s WHERE n_ab * total >= 4 * n_a * n_b",
         "p1_associations": _BASKETS + "SELECT * FROM s",
+        "p1_pairs": _BASKETS.replace(" HAVING count(*) >= 5", "") + "SELECT * FROM s",
         "p7_found": _RANKED + "SELECT query, hypothesis_id FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY total DESC, hypothesis_id) = 1",
         "p2_found": _COPIES + "SELECT tab, id_a, id AS id_b FROM (SELECT tab, id, min(id) OVER (PARTITION BY tab, k) AS id_a FROM x) WHERE id_a <> id",
         "p2_copies": _COPIES + "SELECT tab, min(id) AS id, count(*) AS n_copies FROM x GROUP BY tab, k",
