@@ -140,6 +140,13 @@ def canonical_values(df: DataFrame, id_col: str, fields: list[str], scope: str |
     return values.where(F.trim("raw") != "").select("field", "scope", "id", "raw", one_form(F.col("raw")).alias("form"))
 
 
+def forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(field, id, form): the consistent form of each value; null stays null, blank is empty."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields]))
+    values = df.select(F.col(id_col).cast("long").alias("id"), each.alias("v"))
+    return values.select("v.field", "id", one_form(F.col("v.raw")).alias("form"))
+
+
 def same_look(values: DataFrame) -> DataFrame:
     """(field, id_a, id_b): rows that look like the least id of their class but are stored otherwise.
 

@@ -43,8 +43,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Every title in its consistent form."""
-    return table(spark, d, "articles").select("article_ord", lookalikes.one_form(F.col("title")).alias("form"))
+    """Every title, abstract and normalized in its consistent form."""
+    a = lookalikes.forms(spread(table(spark, d, "articles")), "article_ord", ["title", "abstract"])
+    return a.unionByName(lookalikes.forms(spread(table(spark, d, "entities")), "entity_id", ["normalized"]))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -8,3 +8,10 @@ def test_every_pair_comes_out(spark, tmp_path):
     spark.createDataFrame(rows, "pmid string, mesh_terms array<string>, keywords array<string>").write.parquet(str(tmp_path / "articles.parquet"))
     got = {(r.field, r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.total, r.lift) for r in registry.queries()["p1_pairs"](spark, str(tmp_path)).collect()}
     assert got == {("mesh_terms", "a", "b"): (2, 3, 2, 3, 1.0), ("mesh_terms", "a", "c"): (1, 3, 1, 3, 1.0), ("keywords", "x", "y"): (1, 1, 1, 1, 1.0)}
+
+
+def test_forms_of_all_fields(spark, tmp_path):
+    spark.createDataFrame([(1, "х  y", "ﬁber"), (2, None, " ")], "article_ord long, title string, abstract string").write.parquet(str(tmp_path / "articles.parquet"))
+    spark.createDataFrame([(1, None, "k​l﻿v­53"), (2, "1", "klv53")], "entity_id long, pmid string, normalized string").write.parquet(str(tmp_path / "entities.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["p4_forms"](spark, str(tmp_path)).collect())
+    assert got == [("abstract", 1, "fiber"), ("abstract", 2, ""), ("normalized", 1, "klv53"), ("normalized", 2, "klv53"), ("title", 1, "x y"), ("title", 2, None)]
