@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litloom.functions import vocab
+from litloom.session import cut
 
 
 def filter_evidence(
@@ -59,6 +60,19 @@ def sort_hypotheses(h: DataFrame, by: str = "final_score") -> DataFrame:
     return h.orderBy(F.desc(F.coalesce(by, F.lit(0.0))), "hypothesis_id")
 
 
+def places(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted table with their place from 1.
+
+    Rows are numbered within the partitions of the sort, and one small row a partition holds where it
+    begins, so no task sees all rows. Written once, as a second sort may cut partitions otherwise.
+    """
+    rows = cut(ordered.withColumn("_id", F.monotonically_increasing_id())).withColumns({"_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    starts = sizes.select("_part", before.alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_row") + 1).drop("_id", "_part", "_row", "_start")
+
+
 def counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 

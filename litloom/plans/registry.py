@@ -260,6 +260,12 @@ def hypothesis_order(spark, d):
     return analysis.sort_hypotheses(h, "confidence").limit(10).select("hypothesis_id", "confidence")
 
 
+def hypothesis_places(spark, d):
+    """Every hypothesis with its place; hypothesis_order has the first ten."""
+    h = table(spark, d, "hypotheses")
+    return analysis.places(analysis.sort_hypotheses(h, "confidence").select("hypothesis_id", "confidence"))
+
+
 def hypothesis_averages(spark, d):
     f = analysis.hypothesis_figures(table(spark, d, "hypotheses"))
     return f.select("n_hypotheses", *[F.round(c, 4).alias(c) for c in f.columns[1:]])
@@ -334,7 +340,7 @@ _CORE = (
     gap_candidates_topk, normalize_text, truncate_text, slugs, record_checks, sentence_split, cue_flags, entity_classes, relation_confidence, evidence_lines, article_clean, article_years, corpus_search,
     fetch_selected, xml_round_trip, p6_found, entities_extract, relations_extract, relation_dedupe, edge_merge, temporal_layer, temporal_snapshot, negative_edges, node_types, combined_graph, degree_top10,
     degree_distribution, components, graph_stats, repeated_edge_values, gap_scores, gap_candidates_cutoff, hop2_pairs, hop3_pairs, novelty_status, synonym_pairs, hypothesis_generate, evidence_join,
-    hypothesis_scores, hypothesis_order, hypothesis_averages, evidence_filter, evidence_top, gap_filter, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
+    hypothesis_scores, hypothesis_order, hypothesis_places, hypothesis_averages, evidence_filter, evidence_top, gap_filter, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
     middle_year, relation_articles, run_metadata, graph_export,
 )
 
@@ -572,6 +578,7 @@ def oracle_sql() -> dict[str, str]:
             (CASE upper(novelty_status) {novelty} ELSE 0.6 END)::DOUBLE AS novelty, (CASE {feasible} ELSE 0.5 END)::DOUBLE AS feasibility, {bucket} AS level,
             concat(repeat('█', round_even(least(1, greatest(0, confidence)) * 10, 0)::INT), repeat('░', 10 - round_even(least(1, greatest(0, confidence)) * 10, 0)::INT)) AS bar FROM hypotheses""",
         "hypothesis_order": "SELECT hypothesis_id, confidence FROM hypotheses ORDER BY coalesce(confidence, 0) DESC, hypothesis_id LIMIT 10",
+        "hypothesis_places": "SELECT hypothesis_id, confidence, row_number() OVER (ORDER BY coalesce(confidence, 0) DESC, hypothesis_id) AS place FROM hypotheses",
         "hypothesis_averages": "SELECT count(*) AS n_hypotheses, round(avg(coalesce(final_score, 0)), 4) AS avg_final_score, round(avg(coalesce(evidence_score, 0)), 4) AS avg_evidence_score, round(avg(coalesce(novelty_score, 0)), 4) AS avg_novelty_score FROM hypotheses",
         "evidence_filter": f"""SELECT rel_ord, subject, predicate, object, confidence FROM relations WHERE contains(lower(concat_ws(' ', subject, object, predicate)), 'klv53') AND predicate IN ('activates', 'inhibits') AND lower(polarity) IN ('positive', 'negative')
             AND lower(certainty) = 'certain' AND (publication_year IS NULL OR publication_year = 0 OR publication_year BETWEEN 2005 AND {CUTOFF}) AND confidence >= 0.8""",
