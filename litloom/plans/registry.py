@@ -283,6 +283,11 @@ def evidence_top(spark, d):
     return analysis.by_confidence(table(spark, d, "relations"), k=10).select("rel_ord", "confidence")
 
 
+def evidence_places(spark, d):
+    """Every relation with its place by confidence; evidence_top has the first ten."""
+    return analysis.places(analysis.by_confidence(table(spark, d, "relations")).select("rel_ord", "confidence"))
+
+
 def gap_filter(spark, d):
     g = gaps.find_gaps(_evidence(spark, d), top_k=200)
     kept = analysis.filter_gaps(g, ("CONTRADICTED", "PARTIALLY_SUPPORTED"), 0.7, ("DISEASE",))
@@ -340,7 +345,7 @@ _CORE = (
     gap_candidates_topk, normalize_text, truncate_text, slugs, record_checks, sentence_split, cue_flags, entity_classes, relation_confidence, evidence_lines, article_clean, article_years, corpus_search,
     fetch_selected, xml_round_trip, p6_found, entities_extract, relations_extract, relation_dedupe, edge_merge, temporal_layer, temporal_snapshot, negative_edges, node_types, combined_graph, degree_top10,
     degree_distribution, components, graph_stats, repeated_edge_values, gap_scores, gap_candidates_cutoff, hop2_pairs, hop3_pairs, novelty_status, synonym_pairs, hypothesis_generate, evidence_join,
-    hypothesis_scores, hypothesis_order, hypothesis_places, hypothesis_averages, evidence_filter, evidence_top, gap_filter, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
+    hypothesis_scores, hypothesis_order, hypothesis_places, hypothesis_averages, evidence_filter, evidence_top, evidence_places, gap_filter, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
     middle_year, relation_articles, run_metadata, graph_export,
 )
 
@@ -583,6 +588,7 @@ def oracle_sql() -> dict[str, str]:
         "evidence_filter": f"""SELECT rel_ord, subject, predicate, object, confidence FROM relations WHERE contains(lower(concat_ws(' ', subject, object, predicate)), 'klv53') AND predicate IN ('activates', 'inhibits') AND lower(polarity) IN ('positive', 'negative')
             AND lower(certainty) = 'certain' AND (publication_year IS NULL OR publication_year = 0 OR publication_year BETWEEN 2005 AND {CUTOFF}) AND confidence >= 0.8""",
         "evidence_top": "SELECT rel_ord, confidence FROM relations ORDER BY coalesce(confidence, 0) DESC, rel_ord LIMIT 10",
+        "evidence_places": "SELECT rel_ord, confidence, row_number() OVER (ORDER BY coalesce(confidence, 0) DESC, rel_ord) AS place FROM relations",
         "gap_filter": _gap_query(200, None) + "SELECT node_a AS entity_a, node_b AS entity_b, node_a_type AS entity_a_type, node_b_type AS entity_b_type, score, novelty_status, method, replace(common_neighbors, ';', '; ') AS common_neighbors, max_year FROM gaps WHERE score >= 0.7 AND (node_a_type = 'DISEASE' OR node_b_type = 'DISEASE')",
         "gap_figures": _gap_query(50, None) + "SELECT count(*) AS n_gaps, count(*) FILTER (score >= 0.7) AS n_high FROM gaps",
         "entity_type_counts": "SELECT entity_type, count(*) AS n FROM entities GROUP BY 1",

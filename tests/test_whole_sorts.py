@@ -21,3 +21,11 @@ def test_every_hypothesis_has_a_place(spark, tmp_path):
     spark.createDataFrame(rows, "hypothesis_id string, confidence double").write.parquet(str(tmp_path / "hypotheses.parquet"))
     got = registry.queries()["hypothesis_places"](spark, str(tmp_path))
     assert sorted((r.place, r.hypothesis_id) for r in got.collect()) == [(25 - k, f"h{k:02}") for k in reversed(range(25))]
+
+
+def test_every_relation_has_a_place(spark, tmp_path):
+    rows = [(k, None if k == 3 else k % 5 / 5) for k in range(25)]
+    spark.createDataFrame(rows, "rel_ord long, confidence double").write.parquet(str(tmp_path / "relations.parquet"))
+    want = sorted(rows, key=lambda r: (-(r[1] or 0.0), r[0]))
+    got = registry.queries()["evidence_places"](spark, str(tmp_path))
+    assert sorted((r.place, r.rel_ord, r.confidence) for r in got.collect()) == [(i, *r) for i, r in enumerate(want, 1)]
