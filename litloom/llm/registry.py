@@ -73,7 +73,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_sources(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.sources(spread(table(spark, d, "documents")))
+    return truncation.sources(spread(table(spark, d, "documents")), blank=True)
 
 
 _BASKETS = r"""

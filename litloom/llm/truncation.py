@@ -8,7 +8,8 @@ open (mid-word or mid-sentence) or bare (whole without a closing mark: list line
 endings are cut wherever they stand, as some transfers break off at any length; bare endings and
 endings with a doubtful dot count as cut at significant lengths only.
 
-Defined cases: null, empty and blank texts are not cut; null sources form a group of their own.
+Defined cases: null, empty and blank texts are not cut and have no part in the length tests, but
+in the documents of their source if asked for; null sources form a group of their own.
 """
 
 from __future__ import annotations
@@ -106,18 +107,19 @@ def ending(text: str | None, kind: str | None = None) -> int:
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, chars, bytes, how): one pass over whole texts; only sizes and the class remain."""
+    """(doc_id, source, chars, bytes, how): one pass over whole texts; only sizes and the class remain. Blank texts have no sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             how = pa.array([ending(t, k) for t, k in zip(b.column(4).to_pylist(), b.column(5).to_pylist())], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], how], names=["doc_id", "source", "chars", "bytes", "how"])
 
+    seen = F.col("text").rlike(r"(?U)\S")
     src = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce("source", F.lit("\x00")).alias("source"), F.length("text").cast("int").alias("chars"),
-        F.octet_length("text").cast("int").alias("bytes"), F.col("text").cast("string"), F.col("doc_kind").cast("string"),
+        F.col("doc_id").cast("long"), F.coalesce("source", F.lit("\x00")).alias("source"), F.when(seen, F.length("text").cast("int")).alias("chars"),
+        F.when(seen, F.octet_length("text").cast("int")).alias("bytes"), F.col("text").cast("string"), F.col("doc_kind").cast("string"),
     )
-    return src.where(F.length(F.trim("text")) > 0).mapInArrow(run, "doc_id long, source string, chars int, bytes int, how int")
+    return src.mapInArrow(run, "doc_id long, source string, chars int, bytes int, how int")
 
 
 def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -126,7 +128,7 @@ def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
     sizes: (source, chars, bytes). Counts are pre-aggregated to one row per distinct length, so that
     the windows hold lengths, not texts, however many texts a source has.
     """
-    by_unit = sizes.select("source", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "size"))
+    by_unit = sizes.where(F.col("chars").isNotNull()).select("source", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "size"))
     counts = by_unit.groupBy("source", "unit", "size").agg(F.count("*").alias("d"))
     each = Window.partitionBy("source", "unit")
     after = each.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
@@ -150,13 +152,13 @@ def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, how, at_limit) of every non-blank document."""
+    """(doc_id, source, how, at_limit, has_text) of every document."""
     ends = cut(endings(docs))
     limits = significant_lengths(ends)
     chars = limits.where("unit = 'chars'").select("source", F.col("size").alias("chars"), F.lit(True).alias("lc"))
     sizes_b = limits.where("unit = 'bytes'").select("source", F.col("size").alias("bytes"), F.lit(True).alias("lb"))
     out = ends.join(chars, ["source", "chars"], "left").join(sizes_b, ["source", "bytes"], "left")
-    return out.select("doc_id", "source", "how", (F.coalesce("lc", F.lit(False)) | F.coalesce("lb", F.lit(False))).alias("at_limit"))
+    return out.select("doc_id", "source", "how", (F.coalesce("lc", F.lit(False)) | F.coalesce("lb", F.lit(False))).alias("at_limit"), F.col("chars").isNotNull().alias("has_text"))
 
 
 def _is_cut():
@@ -167,8 +169,8 @@ def found(docs: DataFrame) -> DataFrame:
     return cut_documents(docs).where(_is_cut()).select("doc_id")
 
 
-def sources(docs: DataFrame) -> DataFrame:
-    """(source, n_docs, n_cut, share, n_at_limit): how often each source truncates."""
+def sources(docs: DataFrame, blank: bool = False) -> DataFrame:
+    """(source, n_docs, n_cut, share, n_at_limit): how often each source truncates; blank: of all its documents, not only of those with text."""
     flags = cut_documents(docs).withColumn("is_cut", _is_cut())
-    out = flags.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("is_cut") & F.col("at_limit")).alias("n_at_limit"))
+    out = (flags if blank else flags.where("has_text")).groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("is_cut") & F.col("at_limit")).alias("n_at_limit"))
     return out.select(F.nullif("source", F.lit("\x00")).alias("source"), "n_docs", "n_cut", (F.col("n_cut") / F.col("n_docs")).alias("share"), "n_at_limit")

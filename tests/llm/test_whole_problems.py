@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators do the whole of their problems."""
 
-from litloom.llm import registry
+from litloom.llm import registry, truncation
 
 
 def test_every_pair_comes_out(spark, tmp_path):
@@ -15,3 +15,13 @@ def test_forms_of_all_fields(spark, tmp_path):
     spark.createDataFrame([(1, None, "k​l﻿v­53"), (2, "1", "klv53")], "entity_id long, pmid string, normalized string").write.parquet(str(tmp_path / "entities.parquet"))
     got = sorted(tuple(r) for r in registry.queries()["p4_forms"](spark, str(tmp_path)).collect())
     assert got == [("abstract", 1, "fiber"), ("abstract", 2, ""), ("normalized", 1, "klv53"), ("normalized", 2, "klv53"), ("title", 1, "x y"), ("title", 2, None)]
+
+
+def test_shares_rest_on_all_documents(spark, tmp_path):
+    rows = [(1, "It was the", "s"), (2, "It ended.", "s"), (3, "", "s"), (4, None, "s"), (5, " \n\u00a0", "t"), (6, None, None)]
+    docs = spark.createDataFrame([(*r, "abstract") for r in rows], "doc_id long, text string, source string, doc_kind string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in registry.queries()["p10_sources"](spark, str(tmp_path)).collect()}
+    assert got == {("s", 4, 1, .25, 0), ("t", 1, 0, 0.0, 0), (None, 1, 0, 0.0, 0)}
+    assert {tuple(r) for r in truncation.sources(docs).collect()} == {("s", 2, 1, .5, 0)}
+    assert [r.doc_id for r in truncation.found(docs).collect()] == [1]
