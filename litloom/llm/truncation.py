@@ -137,9 +137,17 @@ def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
     zero = F.lit(0.0)
     near_d = F.coalesce(F.sum("d").over(below), zero) + F.coalesce(F.sum("d").over(above), zero)
     lengths = 2 * (FAR - NEAR + 1)
-    # The neighbours' hazard: their ends over the texts that reach them.
-    c = c.withColumn("near_d", near_d)
-    c = c.withColumn("expected", (F.col("near_d") + 0.5) / lengths)
+
+    def reach(k: int):
+        """Texts at risk, summed over all lengths from size + k on, those at which none ends included."""
+        least = F.greatest(F.col("size") + k, F.lit(1))
+        longer = each.orderBy(F.desc("size")).rangeBetween(Window.unboundedPreceding, -k)
+        return F.coalesce(F.sum(F.col("d") * F.col("size")).over(longer) - (least - 1) * F.sum("d").over(longer), F.lit(0))
+
+    near_risk = reach(-FAR) - reach(1 - NEAR) + reach(NEAR) - reach(FAR + 1)
+    # The neighbours' hazard: their ends over the texts that reach them, of which there is at least one a length.
+    c = c.withColumns({"near_d": near_d, "near_risk": F.greatest(near_risk, F.lit(lengths))})
+    c = c.withColumn("expected", F.col("risk") * (F.col("near_d") + 0.5) / F.col("near_risk"))
     lam, d = F.col("expected"), F.col("d").cast("double")
     # Chernoff's bound of the Poisson tail: conservative, so false discoveries stay controlled.
     log_p = F.when(d > lam, -(d * F.log(d / lam) - d + lam)).otherwise(zero)

@@ -25,3 +25,14 @@ def test_shares_rest_on_all_documents(spark, tmp_path):
     assert got == {("s", 4, 1, .25, 0), ("t", 1, 0, 0.0, 0), (None, 1, 0, 0.0, 0)}
     assert {tuple(r) for r in truncation.sources(docs).collect()} == {("s", 2, 1, .5, 0)}
     assert [r.doc_id for r in truncation.found(docs).collect()] == [1]
+
+
+def test_limit_where_few_texts_are_left(spark):
+    # A limit takes 1,000 of 1,040 texts; all of the 40 left end at another one shortly behind it.
+    sizes = [240] * 1000 + [270] * 40
+    got = truncation.significant_lengths(spark.createDataFrame([("s", n, n) for n in sizes], "source string, chars int, bytes int")).collect()
+    assert {(r.unit, r["size"]) for r in got} == {(u, n) for u in ("chars", "bytes") for n in (240, 270)}
+    for r in got:  # risk times the neighbours' ends over their texts at risk
+        near = [r["size"] + k for k in range(-truncation.FAR, truncation.FAR + 1) if abs(k) >= truncation.NEAR]
+        risks = [sum(s >= n for s in sizes) for n in (r["size"], *near)]
+        assert abs(r.expected - risks[0] * (sum(map(sizes.count, near)) + 0.5) / sum(risks[1:])) < 1e-9
