@@ -4,7 +4,7 @@ Method: semi-Markov dynamic programming over whole spans. Every closing mark (an
 white space) is a possible end. A chain of spans is chosen whose sum of scores is greatest; a span's
 score takes together its closing words (is the dot part of an abbreviation, an initial, a number?),
 the opening words of what follows, whether quotations and brackets are balanced within the span, and
-its length. Spans reach over up to ``REACH`` possible ends, far more than one sentence holds.
+its length. A span may reach over any number of possible ends.
 
 Offsets count code points of the text as stored. Null, empty and blank texts give no sentence; a
 text without closing mark is one sentence; equal scores prefer the earlier end.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .lookalikes import normalise
 
-REACH = 64
+#: Characters that a span may have before its length counts against it.
+FREE = 600
 
 # Abbreviations, without dots at their end, in lower case.
 #: Something always follows: titles, references to figures, "for example".
@@ -284,16 +285,28 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     begin = [first] + [e[2] for e in ends]
     finish = [0] + [e[1] for e in ends] + [stop]
     gain = [0.0] + [e[3] for e in ends] + [0.0]
+    # Spans over FREE characters lose in proportion to their length, so that of the starts so far back the
+    # one of the best score at each depth stands for all; only nearer starts are tried one by one.
+    low = finish[:]
+    for j in range(k, 0, -1):
+        low[j] = min(low[j], low[j + 1])
+    far: dict[int, tuple[float, int]] = {}
+    near = 0
     for j in range(1, k + 2):
         top, at = -1e18, 0
         dj, fj = depth[j], finish[j]
-        for i in range(max(0, j - REACH), j):
+        while near < j and begin[near] + FREE < low[j]:
+            v = best[near] + begin[near] / FREE
+            if depth[near] not in far or v > far[depth[near]][0]:
+                far[depth[near]] = (v, near)
+            near += 1
+        for i in (*sorted(x[1] for x in far.values()), *range(near, j)):
             size = fj - begin[i]
             s = best[i]
             if size < 3:
                 s -= 4.0
-            elif size > 600:
-                s -= (size - 600) / 600
+            elif size > FREE:
+                s -= (size - FREE) / FREE
             if dj or depth[i]:
                 s -= 8.0 if dj != depth[i] else 6.0
             if s > top:

@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators do the whole of their problems."""
 
-from litloom.llm import registry, truncation
+from litloom.llm import registry, sentences, truncation
 
 
 def test_every_pair_comes_out(spark, tmp_path):
@@ -36,3 +36,11 @@ def test_limit_where_few_texts_are_left(spark):
         near = [r["size"] + k for k in range(-truncation.FAR, truncation.FAR + 1) if abs(k) >= truncation.NEAR]
         risks = [sum(s >= n for s in sizes) for n in (r["size"], *near)]
         assert abs(r.expected - risks[0] * (sum(map(sizes.count, near)) + 0.5) / sum(risks[1:])) < 1e-9
+
+
+def test_sentence_of_many_possible_ends():
+    values = "The values were " + ", ".join(f"{k}.5" for k in range(200)) + "."
+    parts = ["It began.", values, "It ended."]
+    t = " ".join(parts)
+    assert len(sentences.candidates(t, False)) > 200
+    assert [t[a:b] for a, b in sentences.spans(t)] == parts
