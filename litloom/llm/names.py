@@ -2,8 +2,8 @@
 
 Method: suffix blocking. The suffixes of a name's tokens, from ``MIN_SUFFIX`` letters on, are its
 block keys. A suffix that too many listed names share isn't discarded outright: it is refined with
-the initials of the name's other tokens, and dropped only if the refined key is still too common and
-isn't a whole token. Names that share a key are compared by the ratio of their longest common
+the initials of the name's other tokens, and every name of a refined key is kept, however many share
+it. Names that share a key are compared by the ratio of their longest common
 subsequence, token by token, with initials, nicknames, abbreviations and reordered parts recognised.
 
 Each distinct spelling is linked once and joined back, so a name that fills a third of the rows costs
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_SUFFIX, LONGEST = 4, 9
-#: A suffix of more listed names than this is refined; a refined key of more than that is dropped.
-COMMON, COMMON_REFINED = 8, 64
+#: A suffix of more listed names than this is refined.
+COMMON = 8
 TOKEN_RATIO = 0.75
 #: Given names that an authority list may hold: a few MB.
 MOST_GIVEN = 200_000
@@ -79,17 +79,17 @@ def ratio(a: str, b: str) -> float:
     return 2.0 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
-def keys(name: str) -> tuple[list[str], list[str], list[bool]]:
-    """Block keys: suffix, suffix refined by another token's initial, and whether it is a whole token."""
+def keys(name: str) -> tuple[list[str], list[str]]:
+    """Block keys: suffix, and suffix refined by another token's initial."""
     toks = [t for t in tokens(name) if t not in TITLES and t not in SMALL]
-    out: dict[tuple[str, str], bool] = {}
+    out: dict[tuple[str, str], None] = {}
     for i, t in enumerate(toks):
         initials = {u[0] for j, u in enumerate(toks) if j != i} or {""}
         for k in {*range(MIN_SUFFIX, min(len(t), LONGEST) + 1), len(t)}:
             if k >= MIN_SUFFIX:
                 for x in initials:
-                    out[t[-k:], x] = out.get((t[-k:], x), False) or k == len(t)
-    return [s for s, _ in out], [f"{s}+{x}" for s, x in out], list(out.values())
+                    out[t[-k:], x] = None
+    return [s for s, _ in out], [f"{s}+{x}" for s, x in out]
 
 
 def _near(a: str, b: str) -> bool:
@@ -217,32 +217,28 @@ def authority(author_ref: DataFrame, journal_ref: DataFrame) -> DataFrame:
 
 
 def _with_keys(names: DataFrame, col: str) -> DataFrame:
-    """(kind, name, suffix, refined, whole) of distinct (kind, name)."""
+    """(kind, name, suffix, refined) of distinct (kind, name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, suffix, refined, whole = [], [], [], []
+            at, suffix, refined = [], [], []
             for i, n in enumerate(b.column(1).to_pylist()):
-                s, r, w = keys(n)
+                s, r = keys(n)
                 at += [i] * len(s)
                 suffix += s
                 refined += r
-                whole += w
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(suffix, pa.string()), pa.array(refined, pa.string()), pa.array(whole, pa.bool_())], names=["kind", "name", "suffix", "refined", "whole"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(suffix, pa.string()), pa.array(refined, pa.string())], names=["kind", "name", "suffix", "refined"])
 
-    return names.select("kind", F.col(col).alias("name")).distinct().mapInArrow(run, "kind string, name string, suffix string, refined string, whole boolean")
+    return names.select("kind", F.col(col).alias("name")).distinct().mapInArrow(run, "kind string, name string, suffix string, refined string")
 
 
 def block_index(refs: DataFrame) -> DataFrame:
     """(kind, key, listed): rare suffixes by themselves, common ones refined."""
     k = _with_keys(refs, "listed")
     plain = k.select("kind", "suffix", "name").distinct().groupBy("kind", "suffix").agg(F.count("*").alias("n"))
-    refined = k.groupBy("kind", "refined").agg(F.count("*").alias("m"))
-    k = k.join(plain, ["kind", "suffix"]).join(refined, ["kind", "refined"])
-    rare = F.col("n") <= COMMON
-    kept = k.where(rare | (F.col("m") <= COMMON_REFINED) | F.col("whole"))
-    return kept.select("kind", F.when(rare, F.col("suffix")).otherwise(F.col("refined")).alias("key"), F.col("name").alias("listed")).distinct()
+    k = k.join(plain, ["kind", "suffix"])
+    return k.select("kind", F.when(F.col("n") <= COMMON, F.col("suffix")).otherwise(F.col("refined")).alias("key"), F.col("name").alias("listed")).distinct()
 
 
 def given_names(refs: DataFrame, most: int = MOST_GIVEN) -> frozenset[str]:

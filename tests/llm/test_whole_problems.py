@@ -1,6 +1,8 @@
 """The registered queries of the corpus operators do the whole of their problems."""
 
-from litloom.llm import registry, sentences, truncation
+import random
+
+from litloom.llm import names, registry, sentences, truncation
 
 
 def test_every_pair_comes_out(spark, tmp_path):
@@ -44,3 +46,14 @@ def test_sentence_of_many_possible_ends():
     t = " ".join(parts)
     assert len(sentences.candidates(t, False)) > 200
     assert [t[a:b] for a, b in sentences.spans(t)] == parts
+
+
+def test_slips_in_names_of_a_common_key(spark):
+    # 100 listed people share a surname's last letters and an initial; only those letters survive the slip.
+    random.seed(8)
+    heads = ["".join(random.sample("abdefghlmnoprtuvyz", 8)) for _ in range(100)]
+    people = spark.createDataFrame([(i, "person", f"{h.title()}wick, Oksana") for i, h in enumerate(heads)], "author_id long, kind string, full_name string")
+    typed = [f"O. {(h[:6] + h[7] + h[6]).title()}wick" for h in heads]
+    art = spark.createDataFrame([(i, [t], None) for i, t in enumerate(typed)], "article_ord long, authors array<string>, journal string")
+    got = {r.article_ord: r.ref_id for r in names.found(art, people, spark.createDataFrame([], "journal_id long, full_title string")).collect()}
+    assert got == {i: i for i in range(100)}
