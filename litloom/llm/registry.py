@@ -76,6 +76,11 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.sources(spread(table(spark, d, "documents")), blank=True)
 
 
+def p10_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Each cut document with its class: limit or transfer."""
+    return truncation.cut_documents(spread(table(spark, d, "documents"))).where("cut IS NOT NULL").select("doc_id", "source", "cut")
+
+
 _BASKETS = r"""
 WITH a AS (SELECT pmid, mesh_terms, keywords FROM articles WHERE regexp_full_match(pmid, '[0-9]{1,8}')),
 raw AS (
@@ -128,7 +133,7 @@ _RANKED = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources, p10_kinds)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,19 @@
 """Problem 10: text cut off by field limits.
 
 Method: discrete length hazards. For each source the hazard of a length L is the share of texts that
-end at L among those that reach it, in characters and in bytes, computed by window functions over
-the counts of the distinct lengths. Each hazard is tested against those of neighbouring lengths, with
-false-discovery control (Benjamini-Hochberg) within the source. Endings are then classed as closed,
-open (mid-word or mid-sentence) or bare (whole without a closing mark: list lines, Thai). Open
-endings are cut wherever they stand, as some transfers break off at any length; bare endings and
-endings with a doubtful dot count as cut at significant lengths only.
+end at L among those that reach it, in characters and in bytes, computed by window
+functions over the counts of the distinct lengths. Each hazard is tested against the pooled hazard of
+neighbouring lengths, with false-discovery control (Benjamini-Hochberg) over all lengths of the source.
+A limit in one unit piles up lengths in the other as well, so the unit of the stronger limits is kept
+first and the other is tested on the texts that those limits leave unexplained.
+
+Endings are classed as closed, doubtful (a mark that may stand inside a sentence: a number's or an
+abbreviation's dot, a quotation that a sentence may go on behind), bare (whole without a closing mark:
+list lines, Thai) or open (mid-word or mid-sentence). Two classes of cut are told apart:
+
+- ``limit``: at a significant length every incomplete ending counts: open, doubtful and bare.
+- ``transfer``: a transfer breaks off at any length, so away from significant lengths open endings
+  count, and only those.
 
 Defined cases: null, empty and blank texts are not cut and have no part in the length tests, but
 in the documents of their source if asked for; null sources form a group of their own.
@@ -39,7 +46,9 @@ _DOT_END = re.compile(r"([^\s(\[{（「『“„«\"'‘,;:]*)\.\Z")
 _LIST_LINE = re.compile(r"(?:Key ?words|See also|Funding|Registered as|Trial registration|Subjects?|Tags|Abbreviations|Correspondence|Mots[- ]clés|Palabras clave|Schlüsselwörter|Schlagwörter|关键词|キーワード)\b", re.I)
 _SIGN_OFF = re.compile(r"(?:©|\(c\)\s|Copyright\b|[-–—=*_]{2,}.*[-–—=*_]{2,}\Z)", re.I)
 _THAI_END = re.compile(r"[฀-๿]")
-_NUMBER_WAITS = set("vs approx ca about of by at was is to exceeded over under ph betrug de von um bei à était fue con than".split())
+_QUOTES = "\"'”’»›“」』"
+_STARTS = re.compile(r"[.!?。！？।؟]\W*\s\W*\Z|[。！？]\W*\Z|\n\s*\n\W*\Z|\A\W*\Z")
+_UNSPACED_NUMBER = re.compile(r"[^\x00-\x7F]([-\d,]+)\Z")
 _BULLET = re.compile(r"(?:[-•*–]|\d{1,2}[.)])\s+\S")
 
 CLOSED, BARE, DOUBTFUL, OPEN = range(4)
@@ -75,11 +84,10 @@ def ending(text: str | None, kind: str | None = None) -> int:
             return CLOSED if re.search(r"\d{6,}\Z", line) else OPEN
         return CLOSED if line[-1] in "])." else BARE
     if _FINAL.search(t):
-        _, unclosed = pairs(t)
+        done, unclosed = pairs(t)
         if unclosed:
             # Something opened in the last sentence still waits for its end.
-            last = unclosed[-1]
-            if len(t) - last < 400 and "\n\n" not in t[last:]:
+            if "\n\n" not in t[unclosed[-1] :]:
                 return OPEN
         d = _DOT_END.search(t)
         if d:
@@ -87,6 +95,9 @@ def ending(text: str | None, kind: str | None = None) -> int:
             k = _kind(word)
             prior = t[: d.start(1)].split()[-1:] or [""]
             w = _plain(word)
+            tail = _UNSPACED_NUMBER.search(word)  # a number behind a script without spaces
+            if tail:
+                word = w = tail[1]
             if k == "bound" or k == "initial" and not (len(w) == 1 and re.fullmatch(r"[-\d.,]*\d", prior[0])):
                 return OPEN
             if k == "open" and w in ("al", "u.s", "u.k", "std", "e.u"):
@@ -96,16 +107,26 @@ def ending(text: str | None, kind: str | None = None) -> int:
             if re.fullmatch(r"[-\d,]+", word):
                 if len(w) <= 2 and _plain(prior[0]) in ("am", "vom", "zum", "im"):
                     return OPEN
-                if len(w) != 4 and _plain(prior[0]) in _NUMBER_WAITS:
-                    return DOUBTFUL
-        return OPEN if marked and t[-1] == "-" else CLOSED
-    if _THAI_END.search(line[-24:]):
+                if len(w) != 4:
+                    return OPEN if marked else DOUBTFUL
+            elif k in ("open", "dose"):
+                return OPEN if marked else DOUBTFUL
+        elif t[-1] in _QUOTES and _goes_on(t, done):
+            return OPEN if marked else DOUBTFUL
+        return CLOSED
+    if _THAI_END.search(line):
         return OPEN if marked else BARE
     if has_lines and _BULLET.match(line) and not marked:
         return BARE
     return OPEN
 
 
+def _goes_on(t: str, done: list[tuple[int, int, str]]) -> bool:
+    """Whether a quotation that ends the text stands behind words of its own sentence."""
+    a = next((a for a, b, mark in done if b == len(t) - 1), None)
+    return a is not None and not _STARTS.search(t[:a])
+
+
 def endings(docs: DataFrame) -> DataFrame:
     """(doc_id, source, chars, bytes, how): one pass over whole texts; only sizes and the class remain. Blank texts have no sizes."""
 
@@ -122,21 +143,16 @@ def endings(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, source string, chars int, bytes int, how int")
 
 
-def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(source, unit, size) whose hazard stands out from its neighbours'.
+def hazard_tests(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """counts (source, unit, size, d) -> those of significant hazard, with risk, expected and log_p.
 
-    sizes: (source, chars, bytes). Counts are pre-aggregated to one row per distinct length, so that
-    the windows hold lengths, not texts, however many texts a source has.
-    """
-    by_unit = sizes.where(F.col("chars").isNotNull()).select("source", F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "size"))
-    counts = by_unit.groupBy("source", "unit", "size").agg(F.count("*").alias("d"))
+    The windows hold distinct lengths, not texts, however many texts a source has."""
     each = Window.partitionBy("source", "unit")
     after = each.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
     below, above = each.orderBy("size").rangeBetween(-FAR, -NEAR), each.orderBy("size").rangeBetween(NEAR, FAR)
     c = counts.withColumn("risk", F.sum("d").over(after))
     zero = F.lit(0.0)
     near_d = F.coalesce(F.sum("d").over(below), zero) + F.coalesce(F.sum("d").over(above), zero)
-    lengths = 2 * (FAR - NEAR + 1)
 
     def reach(k: int):
         """Texts at risk, summed over all lengths from size + k on, those at which none ends included."""
@@ -145,40 +161,62 @@ def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
         return F.coalesce(F.sum(F.col("d") * F.col("size")).over(longer) - (least - 1) * F.sum("d").over(longer), F.lit(0))
 
     near_risk = reach(-FAR) - reach(1 - NEAR) + reach(NEAR) - reach(FAR + 1)
-    # The neighbours' hazard: their ends over the texts that reach them, of which there is at least one a length.
-    c = c.withColumns({"near_d": near_d, "near_risk": F.greatest(near_risk, F.lit(lengths))})
+    # The neighbours' hazard: their ends over the texts that reach them. Near the shortest and the longest
+    # text there are fewer neighbours; each that exists is reached by one text at least.
+    there = F.least(F.lit(FAR - NEAR + 1), F.greatest(F.col("size") - NEAR, F.lit(0))) + F.least(F.lit(FAR - NEAR + 1), F.greatest(F.max("size").over(each) - F.col("size") - NEAR + 1, F.lit(0)))
+    c = c.withColumns({"near_d": near_d, "near_risk": F.greatest(near_risk, there, F.lit(1))})
     c = c.withColumn("expected", F.col("risk") * (F.col("near_d") + 0.5) / F.col("near_risk"))
     lam, d = F.col("expected"), F.col("d").cast("double")
     # Chernoff's bound of the Poisson tail: conservative, so false discoveries stay controlled.
-    log_p = F.when(d > lam, -(d * F.log(d / lam) - d + lam)).otherwise(zero)
+    c = c.withColumn("log_p", F.when(d > lam, -(d * F.log(d / lam) - d + lam)).otherwise(zero))
     # Every length is a test: the count of tests and the ranks of p include those of a single text.
-    c = c.withColumns({"p": F.exp(log_p), "m": F.count("*").over(each)})
-    c = c.withColumn("rank", F.row_number().over(each.orderBy("p", "size")))
-    c = c.withColumn("ok", F.col("p") * F.col("m") / F.col("rank") <= alpha)
-    c = c.withColumn("largest", F.max(F.when(F.col("ok"), F.col("p"))).over(each))
-    return c.where((F.col("p") <= F.col("largest")) & (d >= RATIO * lam)).select("source", "unit", "size", "d", "risk", "expected", "p")
+    c = c.withColumn("m", F.count("*").over(each)).withColumn("rank", F.row_number().over(each.orderBy("log_p", "size")))
+    c = c.withColumn("ok", F.col("log_p") + F.log(F.col("m") / F.col("rank")) <= F.log(F.lit(alpha)))
+    c = c.withColumn("largest", F.max(F.when(F.col("ok"), F.col("log_p"))).over(each))
+    return c.where((F.col("log_p") <= F.col("largest")) & (d >= RATIO * lam)).select("source", "unit", "size", "d", "risk", "expected", "log_p")
 
 
-def cut_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, how, at_limit, has_text) of every document."""
+def significant_lengths(sizes: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(source, unit, size, d, risk, expected, log_p) whose hazard stands out from its neighbours'.
+
+    sizes: (source, chars, bytes) a text, pre-aggregated to a row a pair of lengths. Both units are tested; the one whose limits are the stronger stays
+    (both, if equal), the other is tested again on texts not at those limits."""
+    pairs_ = cut(sizes.where(F.col("chars").isNotNull()).groupBy("source", "chars", "bytes").agg(F.count("*").alias("d")))
+
+    def counts(of: DataFrame) -> DataFrame:
+        unit = F.explode(F.create_map(F.lit("chars"), F.col("chars"), F.lit("bytes"), F.col("bytes"))).alias("unit", "size")
+        return of.select("source", "d", unit).groupBy("source", "unit", "size").agg(F.sum("d").alias("d"))
+
+    both = cut(hazard_tests(counts(pairs_), alpha))
+    by_unit = both.groupBy("source").agg(*[F.coalesce(F.sum(F.when(F.col("unit") == u, -F.col("log_p"))), F.lit(0.0)).alias(f"of_{u}") for u in ("chars", "bytes")])
+    own, other_unit = (F.when((F.col("unit") == "chars") == F.lit(x), F.col("of_chars")).otherwise(F.col("of_bytes")) for x in (True, False))
+    first = both.join(by_unit, "source").where(own >= other_unit).drop("of_chars", "of_bytes")  # both units if they say the same
+    rest = pairs_
+    for u in ("chars", "bytes"):
+        rest = rest.join(first.where(F.col("unit") == u).select("source", F.col("size").alias(u)), ["source", u], "left_anti")
+    # Of a source without limits nothing is left to explain; of the others the kept unit isn't tested anew.
+    other = counts(rest).join(first.select("source").distinct(), "source", "left_semi").join(first.select("source", "unit").distinct(), ["source", "unit"], "left_anti")
+    return first.unionByName(hazard_tests(other, alpha))
+
+
+def cut_documents(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(doc_id, source, how, at_limit, has_text, cut) of every document; cut: limit, transfer or null."""
     ends = cut(endings(docs))
-    limits = significant_lengths(ends)
-    chars = limits.where("unit = 'chars'").select("source", F.col("size").alias("chars"), F.lit(True).alias("lc"))
-    sizes_b = limits.where("unit = 'bytes'").select("source", F.col("size").alias("bytes"), F.lit(True).alias("lb"))
-    out = ends.join(chars, ["source", "chars"], "left").join(sizes_b, ["source", "bytes"], "left")
-    return out.select("doc_id", "source", "how", (F.coalesce("lc", F.lit(False)) | F.coalesce("lb", F.lit(False))).alias("at_limit"), F.col("chars").isNotNull().alias("has_text"))
-
-
-def _is_cut():
-    return (F.col("how") == OPEN) | (F.col("at_limit") & F.col("how").isin(BARE, DOUBTFUL))
+    limits = cut(significant_lengths(ends, alpha))
+    out = ends
+    for u in ("chars", "bytes"):
+        out = out.join(limits.where(F.col("unit") == u).select("source", F.col("size").alias(u), F.lit(True).alias(f"at_{u}")), ["source", u], "left")
+    out = out.select("doc_id", "source", "how", F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("at_limit"), F.col("chars").isNotNull().alias("has_text"))
+    return out.withColumn("cut", F.when(F.col("at_limit") & F.col("how").isin(OPEN, DOUBTFUL, BARE), "limit").when(F.col("how") == OPEN, "transfer"))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    return cut_documents(docs).where(_is_cut()).select("doc_id")
+    return cut_documents(docs).where(F.col("cut").isNotNull()).select("doc_id")
 
 
 def sources(docs: DataFrame, blank: bool = False) -> DataFrame:
-    """(source, n_docs, n_cut, share, n_at_limit): how often each source truncates; blank: of all its documents, not only of those with text."""
-    flags = cut_documents(docs).withColumn("is_cut", _is_cut())
-    out = (flags if blank else flags.where("has_text")).groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("is_cut") & F.col("at_limit")).alias("n_at_limit"))
+    """(source, n_docs, n_cut, share, n_at_limit): how often each source truncates, the rest of n_cut being
+    transfers; blank: of all its documents, not only of those with text."""
+    flags = cut_documents(docs)
+    out = (flags if blank else flags.where("has_text")).groupBy("source").agg(F.count("*").alias("n_docs"), F.count("cut").alias("n_cut"), F.count_if(F.col("cut") == "limit").alias("n_at_limit"))
     return out.select(F.nullif("source", F.lit("\x00")).alias("source"), "n_docs", "n_cut", (F.col("n_cut") / F.col("n_docs")).alias("share"), "n_at_limit")
