@@ -52,6 +52,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return names.found(table(spark, d, "articles"), table(spark, d, "author_ref"), table(spark, d, "journal_ref"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct spelling with every listed name that fits it best; ambiguous: several fit equally well."""
+    refs = names.authority(table(spark, d, "author_ref"), table(spark, d, "journal_ref"))
+    return names.links(names.spellings(table(spark, d, "articles")), refs).withColumn("score", F.round("score", 6))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.found(table(spark, d, "hypotheses"))
 
@@ -133,7 +139,7 @@ _RANKED = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources, p10_kinds)}
+    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p5_links, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources, p10_kinds)}
 
 
 def oracle_sql() -> dict[str, str]:
