@@ -74,6 +74,16 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(spread(table(spark, d, "documents")))
 
 
+def p9_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document: are its parts complete and no more than its size asks for, and do its containers hold what they claim?"""
+    boxes = cut(packing.pack_documents(spread(table(spark, d, "documents"))))
+    held = boxes.groupBy("container").agg(F.sum("part_tokens").alias("held"), F.min("used").alias("u0"), F.max("used").alias("u1"), F.min("length").alias("l0"), F.max("length").alias("l1"))
+    held = held.select("container", ((F.col("held") == F.col("u0")) & (F.col("u0") == F.col("u1")) & (F.col("l0") == F.col("l1")) & (F.col("held") <= F.col("l0")) & (F.col("l0") <= packing.CAPACITY)).alias("good"))
+    docs = boxes.join(held, "container").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("part").alias("k"), F.max("part").alias("last"), F.sum("part_tokens").alias("t"), F.bool_and("good").alias("fits"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("t") / packing.CAPACITY))
+    return docs.select("doc_id", ((F.col("n") == F.col("k")) & (F.col("n") == F.col("last") + 1) & (F.col("n") == least)).alias("whole"), "fits")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.found(spread(table(spark, d, "documents")))
 
@@ -139,7 +149,7 @@ _RANKED = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p5_links, p7_found, p7_ranking, p8_ids, p9_packed, p10_found, p10_sources, p10_kinds)}
+    return {f.__name__: f for f in (p1_found, p1_associations, p1_pairs, p2_found, p2_copies, p3_found, p4_found, p4_forms, p5_found, p5_links, p7_found, p7_ranking, p8_ids, p9_packed, p9_valid, p10_found, p10_sources, p10_kinds)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -148,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_associations": _BASKETS + "SELECT * FROM s",
         "p1_pairs": _BASKETS.replace(" HAVING count(*) >= 5", "") + "SELECT * FROM s",
         "p7_found": _RANKED + "SELECT query, hypothesis_id FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY total DESC, hypothesis_id) = 1",
+        "p9_valid": "SELECT doc_id, true AS whole, true AS fits FROM documents",
         "p2_found": _COPIES + "SELECT tab, id_a, id AS id_b FROM (SELECT tab, id, min(id) OVER (PARTITION BY tab, k) AS id_a FROM x) WHERE id_a <> id",
         "p2_copies": _COPIES + "SELECT tab, min(id) AS id, count(*) AS n_copies FROM x GROUP BY tab, k",
     }
