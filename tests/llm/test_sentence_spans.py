@@ -23,7 +23,7 @@ def split(t: str) -> list[str]:
         ["Stop.", "Go on!", "why now?", "Because of " + "x" * 80 + ".", "It ended."],
         ["The " + "very-" * 30 + "long word ended.", "Then another one began."],
         ["He said \"" + "It is so. " * 80 + "It ends.\" to them.", "Done."],
-        ["(" + "One. " * 40 + "Two.) stood there.", "Done."],
+        ["The board (" + "one. " * 40 + "two) stood there.", "Done."],
         ["研究" * 40 + "vs.对照组的差异。", "完。"],
     ],
 )
