@@ -181,7 +181,7 @@ def normalize_entity(x: Column) -> Column:
 
 
 def entity_type(x: Column) -> Column:
-    s = F.trim(x)
+    s = collapse_outer(x)
 
     def any_of(patterns) -> Column:
         return reduce(lambda a, b: a | b, [s.rlike(p) for p in patterns])

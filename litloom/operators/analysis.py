@@ -83,9 +83,10 @@ def most_frequent(df: DataFrame, column: str, order: str, k: int = 10) -> DataFr
     return c.orderBy(F.desc("n"), "first").limit(k).select(column, "n")
 
 
-def options(df: DataFrame, *columns: str) -> DataFrame:
-    """(name, value): sorted distinct non-blank values of each column, as texts."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))
+def options(df: DataFrame, *columns: str, **unions: tuple[str, ...]) -> DataFrame:
+    """(name, value): sorted distinct non-blank values of each column, and of several taken together, as texts."""
+    named = [(c, c) for c in columns] + [(n, c) for n, cs in unions.items() for c in cs]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in named]))
     return df.select(each.alias("o")).select("o.name", "o.value").where("value <> ''").distinct().orderBy("name", "value")
 
 

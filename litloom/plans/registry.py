@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from litloom.session import cut, spread, table
 from litloom.sources import articles as sources
 from litloom.sources import sinks, xml
 
+from . import extraction_sql
+
 CUTOFF = 2015
 THIS_YEAR = 2026  # the clock of compared queries
 
@@ -97,8 +101,35 @@ def xml_round_trip(spark, d):
     return xml.parse_xml(sources_xml(c), limit=THIS_YEAR + 1)
 
 
+def xml_scan(spark, d):
+    """Every article as a document of the format's rarer parts: markup in the title, labelled sections, free dates, the
+    journal's short name, group authors, qualifiers, location ids; read back."""
+    a = table(spark, d, "articles")
+    safe = lambda c: X.escape_html(F.regexp_replace(X.text(c), _ILLEGAL, ""))
+    el = lambda tag, *inner: F.concat(F.lit(f"<{tag}>"), *inner, F.lit(f"</{tag.split()[0]}>"))
+    some = lambda c: F.filter(F.coalesce(c, F.array()), lambda x: x.isNotNull())
+    each = lambda c, f: F.array_join(F.transform(some(F.col(c)), f), "")
+    o = F.col("article_ord")
+    authors = each("authors", lambda x, i: el("Author", F.when(i % 2 == 1, el("CollectiveName", safe(x))).otherwise(el("LastName", safe(x)))))
+    mesh = each("mesh_terms", lambda x, i: el("MeshHeading", el("DescriptorName", safe(x)), F.when(i % 2 == 1, F.lit("<QualifierName>one</QualifierName><QualifierName> </QualifierName><QualifierName> two </QualifierName>")).otherwise("")))
+    words = each("keywords", lambda x: el("Keyword", safe(x)))
+    article_id = F.when(o % 3 == 0, el('ArticleId IdType="DOI"', safe(F.col("doi")))).when(o % 3 == 1, "").otherwise('<ArticleId IdType="doi"> </ArticleId>')
+    doc = el("Set", el("PubmedArticle", el(
+        "MedlineCitation", el("PMID", F.lit(" "), safe(F.col("pmid"))), el(
+            "Article", el("ArticleTitle", el("b", safe(F.col("title"))), F.lit(" <i/>")),
+            el("Abstract", el('AbstractText Label="METHODS"', safe(F.col("abstract"))), F.lit('<AbstractText Label="NONE"> </AbstractText>'), el("AbstractText", safe(F.col("journal")))), el("AuthorList", authors),
+            el("Journal", el("JournalIssue", el("PubDate", el("MedlineDate", F.coalesce(F.concat(F.lit("Spring "), F.col("year").cast("string")), F.lit("Winter")))))), F.lit("<ArticleDate><Year>2001</Year></ArticleDate>"),
+            el('ELocationID EIdType="doi"', F.lit("10.1/"), o.cast("string")),
+        ), el("MedlineJournalInfo", el("MedlineTA", safe(F.col("journal")))), el("MeshHeadingList", mesh), el("KeywordList", words),
+    ), el("PubmedData", el("ArticleIdList", article_id))))
+    return xml.parse_xml(a.select(doc.alias("xml")), limit=THIS_YEAR + 1)
+
+
+_ILLEGAL = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+
+
 def sources_xml(a: DataFrame) -> DataFrame:
-    legal = lambda c: F.regexp_replace(c, r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", "")
+    legal = lambda c: F.regexp_replace(c, _ILLEGAL, "")
     return xml.to_xml(a.withColumns({c: legal(F.col(c)) for c in ("title", "abstract", "journal")}))
 
 
@@ -294,6 +325,31 @@ def gap_filter(spark, d):
     return sinks.gap_table(analysis.sort_gaps(kept, "Novelty"))
 
 
+def gap_sorts(spark, d):
+    """The best 50 gaps with their place in each of the three sorts."""
+    g = cut(gaps.find_gaps(_evidence(spark, d), top_k=50).select("node_a", "node_b", "score", "novelty_status"))
+    out = [analysis.places(analysis.sort_gaps(g, by)).select(F.lit(by).alias("sort"), "node_a", "node_b", "place") for by in ("Score", "Novelty", "Alphabetical")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+OTHER_PAIRS = (("DISEASE", "CHEMICAL"), ("PATHWAY", "GENE"))
+
+
+def gap_other_pairs(spark, d):
+    """The best gaps of type pairs given by the caller."""
+    return _gap_columns(gaps.find_gaps(_evidence(spark, d), top_k=20, pairs=OTHER_PAIRS))
+
+
+def hypothesis_sorts(spark, d):
+    """Every hypothesis with its place by each score that can sort them."""
+    h = table(spark, d, "hypotheses").select("hypothesis_id", "generated_at", *_SORTS)
+    out = [analysis.places(analysis.sort_hypotheses(h.select("hypothesis_id", F.col(c)), c)).select(F.lit(c).alias("sort"), "hypothesis_id", "place") for c in _SORTS]
+    return reduce(DataFrame.unionByName, out)
+
+
+_SORTS = ("final_score", "evidence_score", "novelty_score", "plausibility_score", "feasibility_score")
+
+
 def gap_figures(spark, d):
     return analysis.gap_figures(gaps.find_gaps(_evidence(spark, d), top_k=50))
 
@@ -311,7 +367,7 @@ def polarity_counts(spark, d):
 
 
 def option_lists(spark, d):
-    return analysis.options(table(spark, d, "relations"), "predicate", "polarity", "certainty", "subject_type")
+    return analysis.options(table(spark, d, "relations"), "predicate", "polarity", "certainty", "subject_type", end_type=("subject_type", "object_type"))
 
 
 def years_covered(spark, d):
@@ -343,9 +399,9 @@ def graph_export(spark, d):
 
 _CORE = (
     gap_candidates_topk, normalize_text, truncate_text, slugs, record_checks, sentence_split, cue_flags, entity_classes, relation_confidence, evidence_lines, article_clean, article_years, corpus_search,
-    fetch_selected, xml_round_trip, p6_found, entities_extract, relations_extract, relation_dedupe, edge_merge, temporal_layer, temporal_snapshot, negative_edges, node_types, combined_graph, degree_top10,
+    fetch_selected, xml_round_trip, xml_scan, p6_found, entities_extract, relations_extract, relation_dedupe, edge_merge, temporal_layer, temporal_snapshot, negative_edges, node_types, combined_graph, degree_top10,
     degree_distribution, components, graph_stats, repeated_edge_values, gap_scores, gap_candidates_cutoff, hop2_pairs, hop3_pairs, novelty_status, synonym_pairs, hypothesis_generate, evidence_join,
-    hypothesis_scores, hypothesis_order, hypothesis_places, hypothesis_averages, evidence_filter, evidence_top, evidence_places, gap_filter, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
+    hypothesis_scores, hypothesis_order, hypothesis_places, hypothesis_averages, evidence_filter, evidence_top, evidence_places, gap_filter, gap_sorts, gap_other_pairs, hypothesis_sorts, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
     middle_year, relation_articles, run_metadata, graph_export,
 )
 
@@ -417,17 +473,15 @@ def _und_sql(name: str, source: str, where: str) -> str:
     return f", {name} AS (SELECT DISTINCT node, nbr FROM (SELECT s AS node, o AS nbr FROM {source} WHERE {where} UNION ALL SELECT o, s FROM {source} WHERE {where}))"
 
 
-_PAIRS = "(" + " OR ".join(f"(x.entity_type = '{a}' AND y.entity_type = '{b}')" for a, b in sorted(gaps.allowed_pairs())) + ")"
-
-
-def _gap_sql(und: str) -> str:
+def _gap_sql(und: str, pairs=None) -> str:
+    types = "(" + " OR ".join(f"(x.entity_type = '{a}' AND y.entity_type = '{b}')" for a, b in sorted(gaps.allowed_pairs(pairs))) + ")"
     return f""", deg AS (SELECT node, count(*) AS d FROM {und} GROUP BY node)
 , two AS (
   SELECT a.node AS a, b.node AS b, count(*) AS cn, coalesce(sum(CASE WHEN g.d > 1 THEN 1 / ln(g.d) END), 0) AS aa, sum(1.0::DOUBLE / g.d) AS ra
   FROM {und} a JOIN {und} b ON a.nbr = b.nbr AND a.node < b.node JOIN deg g ON g.node = a.nbr
   WHERE NOT EXISTS (SELECT 1 FROM {und} e WHERE e.node = a.node AND e.nbr = b.node) GROUP BY 1, 2
 ), sc0 AS (
-  SELECT a, b, x.entity_type AS ta, y.entity_type AS tb, cn, aa, ra, cn::DOUBLE / (da.d + db.d - cn) AS j FROM two JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b JOIN deg da ON da.node = a JOIN deg db ON db.node = b WHERE {_PAIRS}
+  SELECT a, b, x.entity_type AS ta, y.entity_type AS tb, cn, aa, ra, cn::DOUBLE / (da.d + db.d - cn) AS j FROM two JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b JOIN deg da ON da.node = a JOIN deg db ON db.node = b WHERE {types}
 ), sc AS (
   SELECT *, round(0.35 * j + 0.25 * aa + 0.2 * ra + 0.2 * cn, 6) AS score, greatest(round(j, 10), round(aa, 10), round(ra, 10), cn::DOUBLE) AS top FROM sc0
 ), gap AS (
@@ -435,12 +489,12 @@ def _gap_sql(und: str) -> str:
 )"""
 
 
-def _gap_query(k: int, cutoff: int | None) -> str:
+def _gap_query(k: int, cutoff: int | None, pairs=None) -> str:
     """The k best gaps with their evidence; edges: ed."""
     told = "TRUE" if cutoff is None else f"n.ymin <= {cutoff}"
     bio = "layer = 'biological'" if cutoff is None else f"layer = 'biological' AND ny > 0 AND ymax <= {cutoff}"
     return (
-        _EV + _edges("ed0", "ev") + f", ed AS (SELECT * FROM ed0 WHERE {bio})" + _und_sql("und", "ed", "TRUE") + _gap_sql("und")
+        _EV + _edges("ed0", "ev") + f", ed AS (SELECT * FROM ed0 WHERE {bio})" + _und_sql("und", "ed", "TRUE") + _gap_sql("und", pairs)
         + f""", best AS (SELECT * FROM gap ORDER BY score DESC, a, b LIMIT {k})
 , nb AS (SELECT best.a, best.b, x.nbr FROM best JOIN und x ON x.node = best.a JOIN und y ON y.node = best.b AND y.nbr = x.nbr)
 , ids AS (SELECT nb.a, nb.b, count(DISTINCT m.pmid) AS n_pmids FROM nb JOIN ed e ON e.s = nb.nbr OR e.o = nb.nbr JOIN ed0_m m ON m.layer = e.layer AND m.s = e.s AND m.o = e.o GROUP BY 1, 2)
@@ -467,6 +521,55 @@ def _list_sql(c: str) -> str:
     return f"(SELECT coalesce(string_agg(v, ';' ORDER BY p), '') FROM (SELECT {item} AS v, min(u.p) AS p FROM (SELECT unnest({c}) AS v, generate_subscripts({c}, 1) AS p) u WHERE u.v IS NOT NULL GROUP BY 1) w WHERE v <> '')"
 
 
+def _same_case(x: str) -> str:
+    return _collapse(f"nfc_normalize(coalesce({x}, ''))")
+
+
+def _list_same_case(c: str) -> str:
+    """Distinct items in the order of their first place, letter case kept."""
+    return f"(SELECT coalesce(list(v ORDER BY p), []) FROM (SELECT {_same_case('u.v')} AS v, min(u.p) AS p FROM (SELECT unnest({c}) AS v, generate_subscripts({c}, 1) AS p) u WHERE u.v IS NOT NULL GROUP BY 1) w WHERE v <> '')"
+
+
+#: Cleaned articles with their letter case.
+_CLEANED = f"""SELECT article_ord, pmid, {_same_case('title')} AS title, {_same_case('abstract')} AS abstract, CASE WHEN year BETWEEN 1900 AND {THIS_YEAR + 1} THEN year END AS year FROM articles
+  WHERE regexp_full_match(pmid, '[0-9]{{1,8}}') AND ({_norm('title')} <> '' OR {_norm('abstract')} <> '') QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY article_ord) = 1"""
+
+
+def _xml_scan_sql() -> str:
+    legal = lambda x: f"regexp_replace(replace(coalesce({x}, ''), chr(13) || chr(10), chr(10)), '{_ILLEGAL}', '', 'g')"
+    clean = lambda x: rf"regexp_replace(replace({legal(x)}, chr(13), chr(10)), '^{_W}|{_W}$', '', 'g')"
+    items = lambda c: f"list_filter({c}, lambda x: x IS NOT NULL)"
+    said = lambda c: f"list_filter(list_transform(coalesce({items(c)}, []), lambda x: {clean('x')}), lambda x: x <> '')"
+    year = "CASE WHEN length(year::VARCHAR) = 4 AND year > 0 THEN CASE WHEN year BETWEEN 1900 AND {0} THEN year END ELSE 2001 END".format(THIS_YEAR + 1)
+    mesh = f"flatten(list_transform(coalesce({items('mesh_terms')}, []), lambda x, i: CASE WHEN {clean('x')} = '' THEN [] WHEN i % 2 = 0 THEN [concat({clean('x')}, ' / one'), concat({clean('x')}, ' / two')] ELSE [{clean('x')}] END))"
+    return f"""SELECT {clean('pmid')} AS pmid, {clean('title')} AS title, concat_ws(chr(10), 'METHODS: ' || nullif({clean('abstract')}, ''), nullif({clean('journal')}, '')) AS abstract, {said('authors')} AS authors, {clean('journal')} AS journal,
+      {year} AS year, {mesh} AS mesh_terms, {said('keywords')} AS keywords, CASE article_ord % 3 WHEN 0 THEN nullif({clean('doi')}, '') WHEN 1 THEN concat('10.1/', article_ord) END AS doi
+      FROM articles WHERE regexp_full_match({clean('pmid')}, '\\p{{Nd}}{{1,8}}')"""
+
+
+def _export_sql() -> str:
+    """Lines of the GraphML document; edges: ed."""
+
+    def html(x: str) -> str:
+        x = f"coalesce({x}, '')"
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+            x = f"replace({x}, '{a}', '{b}')"
+        return x
+
+    def data(**values: str) -> str:
+        return ", ".join(f"""'<data key="{k}">', {html(v)}, '</data>'""" for k, v in values.items())
+
+    head = ["<?xml version=''1.0'' encoding=''utf-8''?>", '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    head += [f'<key id="{k}" for="{a}" attr.name="{k}" attr.type="{t}"/>' for k, a, t in [("label", "node", "string"), ("entity_type", "node", "string"), ("predicate", "edge", "string"), ("polarity", "edge", "string"), ("confidence", "edge", "double"), ("weight", "edge", "double"), ("pmids", "edge", "string"), ("years", "edge", "string")]]
+    head.append('<graph edgedefault="directed">')
+    fixed = ", ".join([f"(0, '{i:03d}', '{x}')" for i, x in enumerate(head)] + [f"(4, '{i:03d}', '{x}')" for i, x in enumerate(("</graph>", "</graphml>"))])
+    edge = data(predicate="predicate", polarity="'positive'", confidence="c::VARCHAR", weight="round(ln(1 + npm) * c, 6)::VARCHAR", pmids="pmids", years="years")
+    return f""", co AS (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY s, o ORDER BY layer DESC) = 1)
+SELECT * FROM (VALUES {fixed}) AS v(section, key, line)
+UNION ALL SELECT 1, node, concat('<node id="', {html('node')}, '">', {data(label='label', entity_type='entity_type')}, '</node>') FROM nodes
+UNION ALL SELECT 3, concat(s, chr(31), o), concat('<edge source="', {html('s')}, '" target="', {html('o')}, '">', {edge}, '</edge>') FROM co"""
+
+
 def _hypothesis_sql() -> str:
     """Scored hypotheses of the gaps, evidence joined by subject and object."""
 
@@ -522,6 +625,15 @@ def oracle_sql() -> dict[str, str]:
     return {
         "normalize_text": f"SELECT article_ord, {_norm('title')} AS title, {_norm('abstract')} AS abstract FROM articles",
         "truncate_text": "SELECT article_ord, CASE WHEN length(coalesce(title, '')) <= 40 THEN coalesce(title, '') ELSE concat(title[1:40], '…') END AS short FROM articles",
+        "slugs": f"SELECT article_ord, {extraction_sql.slug("coalesce(title, '')")} AS slug FROM articles",
+        "entity_classes": f"SELECT entity_id, {extraction_sql.entity_kind('text', _W)} AS kind, {extraction_sql.entity_norm("coalesce(text, '')", _W)} AS norm FROM entities",
+        "entities_extract": extraction_sql.entities(_CLEANED, _W),
+        "relations_extract": extraction_sql.relations(_CLEANED, _W),
+        "p6_found": extraction_sql.nested(_W),
+        "graph_export": _EV + _edges("ed", "(SELECT * FROM ev WHERE layer <> 'negative')") + _export_sql(),
+        "xml_round_trip": f"""WITH f AS (SELECT * FROM articles WHERE regexp_full_match(pmid, '[0-9]{{1,8}}') AND ({_norm('title')} <> '' OR {_norm('abstract')} <> '') QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY article_ord) = 1)
+            SELECT pmid, {_same_case('title')} AS title, {_same_case('abstract')} AS abstract, list_transform({_list_same_case('authors')}, lambda a: CASE WHEN contains(a, ',') THEN array_to_string(list_filter([trim(a[1:instr(a, ',') - 1]), trim(a[instr(a, ',') + 1:])], lambda x: x <> ''), ', ') ELSE a END) AS authors,
+            {_same_case('journal')} AS journal, CASE WHEN year BETWEEN 1900 AND {THIS_YEAR + 1} THEN year END AS year, {_list_same_case('mesh_terms')} AS mesh_terms, {_list_same_case('keywords')} AS keywords, CASE WHEN doi <> '' THEN {_same_case('doi')} END AS doi FROM f""",
         "record_checks": f"SELECT article_ord, coalesce(regexp_full_match(pmid, '[0-9]{{1,8}}'), false) AS pmid_ok, CASE WHEN year BETWEEN 1900 AND {THIS_YEAR + 1} THEN year END AS year_ok, coalesce({html}, '') AS title_html FROM articles",
         "sentence_split": f"""WITH t AS (SELECT article_ord, {_collapse(_BODY)} AS x FROM articles), u AS (
             SELECT article_ord, list_filter(list_transform(string_split(regexp_replace(x, '([.!?;]) ([A-Z0-9])', concat('\\1', chr(1), '\\2'), 'g'), chr(1)), lambda v: trim(v)), lambda v: v <> '') AS l FROM t)
@@ -590,11 +702,19 @@ def oracle_sql() -> dict[str, str]:
         "evidence_top": "SELECT rel_ord, confidence FROM relations ORDER BY coalesce(confidence, 0) DESC, rel_ord LIMIT 10",
         "evidence_places": "SELECT rel_ord, confidence, row_number() OVER (ORDER BY coalesce(confidence, 0) DESC, rel_ord) AS place FROM relations",
         "gap_filter": _gap_query(200, None) + "SELECT node_a AS entity_a, node_b AS entity_b, node_a_type AS entity_a_type, node_b_type AS entity_b_type, score, novelty_status, method, replace(common_neighbors, ';', '; ') AS common_neighbors, max_year FROM gaps WHERE score >= 0.7 AND (node_a_type = 'DISEASE' OR node_b_type = 'DISEASE')",
+        "gap_sorts": _gap_query(50, None) + ", ".join(["SELECT * FROM (" + " UNION ALL ".join(
+            f"SELECT '{by}' AS sort, node_a, node_b, row_number() OVER (ORDER BY {order}) AS place FROM gaps" for by, order in (
+                ("Score", "score DESC, node_a, node_b"), ("Novelty", "CASE novelty_status WHEN 'PARTIALLY_SUPPORTED' THEN 2 ELSE 5 END, score DESC, node_a, node_b"), ("Alphabetical", "lower(node_a), lower(node_b), score DESC")
+            )
+        ) + ")"]),
+        "gap_other_pairs": _gap_query(20, None, OTHER_PAIRS) + _GAP_SELECT,
+        "hypothesis_sorts": " UNION ALL ".join(f"SELECT '{c}' AS sort, hypothesis_id, row_number() OVER (ORDER BY coalesce({c}, 0) DESC, hypothesis_id) AS place FROM hypotheses" for c in _SORTS),
+        "xml_scan": _xml_scan_sql(),
         "gap_figures": _gap_query(50, None) + "SELECT count(*) AS n_gaps, count(*) FILTER (score >= 0.7) AS n_high FROM gaps",
         "entity_type_counts": "SELECT entity_type, count(*) AS n FROM entities GROUP BY 1",
         "top_entities": "SELECT normalized, count(*) AS n FROM entities GROUP BY 1 ORDER BY 2 DESC, min(entity_id) LIMIT 10",
         "polarity_counts": "SELECT polarity, count(*) AS n FROM relations GROUP BY 1",
-        "option_lists": " UNION ".join(f"SELECT '{c}' AS name, {c} AS value FROM relations WHERE {c} <> ''" for c in ("predicate", "polarity", "certainty", "subject_type")),
+        "option_lists": " UNION ".join(f"SELECT '{c}' AS name, {c} AS value FROM relations WHERE {c} <> ''" for c in ("predicate", "polarity", "certainty", "subject_type")) + "".join(f" UNION SELECT 'end_type', {c} FROM relations WHERE {c} <> ''" for c in ("subject_type", "object_type")),
         "years_covered": "SELECT CASE WHEN min(nullif(year, 0)) IS NULL THEN 'N/A' WHEN min(nullif(year, 0)) = max(year) THEN max(year)::VARCHAR ELSE concat(min(nullif(year, 0)), '–', max(nullif(year, 0))) END AS years_covered FROM articles",
         "middle_year": "WITH y AS (SELECT list(DISTINCT publication_year ORDER BY publication_year) AS l FROM relations WHERE publication_year <> 0) SELECT l[len(l) // 2 + 1] AS middle_year FROM y",
         "relation_articles": "SELECT r.rel_ord, a.title FROM relations r LEFT JOIN (SELECT pmid, arg_max_null(title, article_ord) AS title FROM articles GROUP BY 1) a ON a.pmid = r.pmid",
