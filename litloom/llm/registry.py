@@ -63,7 +63,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranking(table(spark, d, "hypotheses"))
+    return ranking.ranking(table(spark, d, "hypotheses")).withColumn("combined_score", F.round("combined_score", 9))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -158,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_associations": _BASKETS + "SELECT * FROM s",
         "p1_pairs": _BASKETS.replace(" HAVING count(*) >= 5", "") + "SELECT * FROM s",
         "p7_found": _RANKED + "SELECT query, hypothesis_id FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY total DESC, hypothesis_id) = 1",
+        "p7_ranking": _RANKED + f"SELECT query, hypothesis_id, round(exp(total / {len(_SCORES)}), 9) AS combined_score, rank() OVER (PARTITION BY query ORDER BY round(total, 11) DESC) AS place FROM s",
         "p9_valid": "SELECT doc_id, true AS whole, true AS fits FROM documents",
         "p2_found": _COPIES + "SELECT tab, id_a, id AS id_b FROM (SELECT tab, id, min(id) OVER (PARTITION BY tab, k) AS id_a FROM x) WHERE id_a <> id",
         "p2_copies": _COPIES + "SELECT tab, min(id) AS id, count(*) AS n_copies FROM x GROUP BY tab, k",
