@@ -142,6 +142,41 @@ def canonical_order(deduped: DataFrame) -> DataFrame:
     return ordered.withColumn("rel_ord", F.monotonically_increasing_id()).drop("sort_key")
 
 
+#: Fixed value: the confidence of a model's entities.
+MODEL_CONFIDENCE = 0.88
+
+
+def placed_sentences(body: Column) -> Column:
+    """[{start, stop, text}] of a text's sentences; one that isn't found as it stands begins where the last one ended."""
+    parts = F.filter(F.split(X.collapse(body), r"(?<=[.!?;])\s+(?=[A-Z0-9])", -1), lambda x: F.trim(x) != "")
+
+    def step(acc: Column, s: Column) -> Column:
+        at = F.call_function("locate", s, body, acc["at"] + 1) - 1
+        start = F.when(at < 0, acc["at"]).otherwise(at)
+        stop = start + F.length(s)
+        return F.struct(stop.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), stop.alias("stop"), s.alias("text")))).cast(_MATCHES).alias("found"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_MATCHES).alias("found"))
+    return F.aggregate(parts, zero, step, lambda acc: acc["found"])
+
+
+def model_entities(articles: DataFrame, found: DataFrame, key: str = "article_ord") -> DataFrame:
+    """Entities of another recogniser: found has (key, start, text), places counted in the article's text (``X.article_text``).
+
+    Types and normal forms are the rules'; the sentence is the one that holds the place, else the whole text; repeats
+    of an entity in a sentence count once, the first; articles without any get the rules' entities.
+    """
+    told = articles.select(key, "pmid", X.article_text(F.col("title"), F.col("abstract")).alias("body")).withColumn("placed", placed_sentences(F.col("body")))
+    rows = found.where(F.trim("text") != "").select(key, "start", X.collapse_outer(F.col("text")).alias("text")).join(told, key)
+    at = X.sentence_at(F.col("placed"), F.col("start"))
+    rows = rows.select(key, "pmid", "start", "text", X.normalize_entity(F.col("text")).alias("normalized"), X.entity_type(F.col("text")).alias("entity_type"), F.coalesce(at, "body").alias("sentence"), F.array_position("placed.text", at).alias("p"))
+    first = F.min(F.struct(F.coalesce(F.col("p") - 1, F.lit(-1)).cast("int").alias("sent_ord"), F.col("start").cast("int").alias("span_ord"), "pmid", "text"))
+    out = rows.groupBy(key, "normalized", "entity_type", "sentence").agg(first.alias("f"))
+    out = out.select(key, "f.sent_ord", "f.span_ord", "f.text", "normalized", "entity_type", "f.pmid", "sentence", F.lit(MODEL_CONFIDENCE).alias("confidence"))
+    rest = articles.join(out.select(key).distinct(), key, "left_anti")
+    return out.unionByName(entities(with_spans(sentences(rest.select(key, "pmid", "year", "title", "abstract"))), key))
+
+
 def extract(articles: DataFrame, recognise: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """articles -> (entities, deduplicated relations). ``recognise`` may put another recogniser's spans
     in place of the rules': it gets the sentences and returns them with a column ``spans``."""

@@ -1,8 +1,8 @@
 """Unlinked node pairs that share neighbours: scores, ranking, novelty.
 
 Pairs come from an equi self-join on the shared neighbour, with the types of both ends checked in the
-join. A hub's neighbours are cut into chunks by hash, so that a node linked to a third of the graph
-spreads its pairs over tasks; counts and sums combine map-side. Lists of shared neighbours and their
+join. A hub's neighbours are cut into chunks by hash and each pair of chunks meets in a cell of its own, so
+that a node linked to a third of the graph spreads its pairs over tasks; counts and sums combine map-side. Lists of shared neighbours and their
 evidence are made for the ranked result only.
 """
 
@@ -16,8 +16,8 @@ from litloom.functions import vocab
 from litloom.session import cut
 
 from . import graph
+from .skew import CHUNK, product
 
-CHUNK = 256
 CODES = {t: i for i, t in enumerate(vocab.ENTITY_TYPES)}
 
 
@@ -56,9 +56,10 @@ def shared_neighbours(und: DataFrame, all_nodes: DataFrame, pairs=None, chunk: i
     nodes = numbered(und, all_nodes) if nodes is None else nodes
     own = nodes.select("node", F.col("id").alias("x"), "code", F.col("d").alias("dx"))
     ends = und.join(own, "node").join(nodes.select(F.col("node").alias("nbr"), F.col("id").alias("n"), F.col("d").alias("nd")), "nbr").select("n", "nd", "x", "code", "dx", F.ceil(F.col("nd") / chunk).cast("int").alias("k"))
-    left = ends.select("n", "nd", F.col("x").alias("a"), F.col("code").alias("ca"), F.col("dx").alias("degree_a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"))
-    right = ends.select("n", F.col("x").alias("b"), F.col("code").alias("cb"), F.col("dx").alias("degree_b"), F.pmod(F.xxhash64("x"), F.col("k")).cast("int").alias("c"))
-    two = left.join(right, ["n", "c"]).where((F.col("a") < F.col("b")) & _types_allowed(F.col("ca"), F.col("cb"), pairs))
+    mine, each = F.pmod(F.xxhash64("x"), F.col("k")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    left = ends.select("n", "nd", F.col("x").alias("a"), F.col("code").alias("ca"), F.col("dx").alias("degree_a"), mine.alias("i"), each.alias("j"))
+    right = ends.select("n", F.col("x").alias("b"), F.col("code").alias("cb"), F.col("dx").alias("degree_b"), mine.alias("j"), each.alias("i"))
+    two = left.join(right, ["n", "i", "j"]).where((F.col("a") < F.col("b")) & _types_allowed(F.col("ca"), F.col("cb"), pairs))
     found = two.groupBy("a", "b").agg(
         F.min("degree_a").alias("degree_a"), F.min("degree_b").alias("degree_b"), F.count("*").alias("cn"), F.coalesce(F.sum(F.when(F.col("nd") > 1, 1 / F.log("nd"))), F.lit(0.0)).alias("aa"), F.sum(1 / F.col("nd")).alias("ra")
     )
@@ -125,7 +126,7 @@ def novelty(pairs: DataFrame, und: DataFrame, negative: DataFrame, cutoff: int |
     from_a = key.join(near_a, "node_a")
     two = from_a.join(near_b.withColumnRenamed("n", "m"), ["node_b", "m"]).select("node_a", "node_b").distinct().withColumn("is_two", F.lit(True))
     steps = und.select(F.col("node").alias("m"), F.col("nbr").alias("n"))
-    three = from_a.join(steps, "m").select("node_a", "node_b", "n").distinct().join(near_b, ["node_b", "n"]).select("node_a", "node_b").distinct().withColumn("is_three", F.lit(True))
+    three = product(from_a, steps, "m").select("node_a", "node_b", "n").distinct().join(near_b, ["node_b", "n"]).select("node_a", "node_b").distinct().withColumn("is_three", F.lit(True))
     p = p.join(two, ["node_a", "node_b"], "left").join(three, ["node_a", "node_b"], "left")
     open_case = F.col("is_direct").isNull() & F.col("is_negative").isNull() & F.col("is_two").isNull() & F.col("is_three").isNull()
     alike = F.coalesce(X.are_synonyms(F.when(open_case, F.col("node_a")), F.when(open_case, F.col("node_b"))), F.lit(False)) if synonyms else F.lit(False)
@@ -138,15 +139,16 @@ def novelty(pairs: DataFrame, und: DataFrame, negative: DataFrame, cutoff: int |
 
 
 def pairs_at_distance(und: DataFrame, steps: int) -> DataFrame:
-    """(node_a, node_b), node_a < node_b, whose shortest path has exactly 2 or 3 edges."""
+    """(node_a, node_b), node_a < node_b, whose shortest path has exactly 2 or 3 edges; hubs are spread over cells."""
     if steps not in (2, 3):
         raise ValueError("distances of 2 and 3 are supported")
     one = und.select(F.col("node").alias("a"), F.col("nbr").alias("b"))
     step = und.select(F.col("node").alias("b"), F.col("nbr").alias("c"))
-    two = one.join(step, "b").where("a <> c").select("a", F.col("c").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
     if steps == 2:
-        return two.where("a < b").select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
-    three = two.join(step, "b").where("a < c").select("a", F.col("c").alias("b")).distinct()
+        two = product(one, step, "b").where("a < c").select("a", F.col("c").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
+        return two.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+    two = cut(product(one, step, "b").where("a <> c").select("a", F.col("c").alias("b")).distinct().join(one, ["a", "b"], "left_anti"))
+    three = product(two, step, "b").where("a < c").select("a", F.col("c").alias("b")).distinct()
     three = three.join(one, ["a", "b"], "left_anti").join(two, ["a", "b"], "left_anti")
     return three.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 

@@ -13,6 +13,8 @@ from litloom.functions import text as X
 from litloom.functions import vocab
 from litloom.session import cut
 
+from .skew import join_hot
+
 EDGE = ["layer", "subject", "object"]
 
 
@@ -40,21 +42,42 @@ def temporal_rows(rows: DataFrame, cutoff: int | None = None) -> DataFrame:
 def _listed(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Distinct non-blank values of each key in the order of their first row."""
     first = rows.where(F.col(value) != "").groupBy(*keys, value).agg(F.min("ord").alias("o"))
+    return _in_order(first, keys, value, name)
+
+
+def _in_order(first: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
 
 
 def merge_edges(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """One row an edge (layer, subject, object) with its merged evidence, weight included."""
+    """One row an edge (layer, subject, object) with its merged evidence, weight included. ord may be of any type with an order."""
+    return edges_of(*edge_parts(rows), digits)
+
+
+def edge_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What edges are merged from, in a form that can be stored and merged with later parts: a row a predicate of an
+    edge (n, o, c, ys) and a row an article of an edge (o)."""
     rows = rows.where("layer <> 'negative'")
-    counts = rows.groupBy(*EDGE, "predicate").agg(F.count("*").alias("n"), F.min("ord").alias("o"), F.sum("confidence").alias("c"), F.min("year").alias("y0"), F.collect_set("year").alias("ys"))
+    counts = rows.groupBy(*EDGE, "predicate").agg(F.count("*").alias("n"), F.min("ord").alias("o"), F.sum("confidence").alias("c"), F.collect_set("year").alias("ys"))
+    return counts, rows.where("pmid <> ''").groupBy(*EDGE, "pmid").agg(F.min("ord").alias("o"))
+
+
+def merge_parts(counts: DataFrame, pmids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parts of several builds, put one behind the other, as those of one."""
+    counts = counts.groupBy(*EDGE, "predicate").agg(F.sum("n").alias("n"), F.min("o").alias("o"), F.sum("c").alias("c"), F.array_distinct(F.flatten(F.collect_list("ys"))).alias("ys"))
+    return counts, pmids.groupBy(*EDGE, "pmid").agg(F.min("o").alias("o"))
+
+
+def edges_of(counts: DataFrame, pmids: DataFrame, digits: int = 6) -> DataFrame:
+    """Edges of their parts."""
     merged = counts.groupBy(*EDGE).agg(
-        F.max_by("predicate", F.struct("n", (-F.col("o")).alias("o"))).alias("predicate"),
+        F.min_by("predicate", F.struct((-F.col("n")).alias("n"), "o")).alias("predicate"),
         F.transform(F.array_sort(F.collect_list(F.struct("o", "predicate"))), lambda x: x["predicate"]).alias("predicates"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "n")))).alias("predicate_counts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ys")))).alias("years"),
         X.py_round(F.sum("c") / F.sum("n"), digits).alias("confidence"), F.sum("n").alias("n_relations"), F.min("o").alias("first_ord"),
     )
-    out = merged.join(_listed(rows, EDGE, "pmid", "pmids"), EDGE, "left").withColumn("pmids", F.coalesce("pmids", F.array().cast("array<string>")))
+    out = merged.join(_in_order(pmids, EDGE, "pmid", "pmids"), EDGE, "left").withColumn("pmids", F.coalesce("pmids", F.array().cast("array<string>")))
     return out.withColumns({"weight": edge_weight(F.col("pmids"), F.col("confidence"), digits), "polarity": F.lit("positive"), "is_negated": F.lit(False)})
 
 
@@ -63,21 +86,29 @@ def edge_weight(pmids: Column, confidence: Column, digits: int = 6) -> Column:
 
 
 def negative_edges(rows: DataFrame) -> DataFrame:
-    """(subject, object) of negative relations: distinct pmids, sorted years, confidences, first predicate."""
+    """(subject, object) of negative relations: distinct pmids, sorted years, first predicate, mean confidence, and the
+    confidences as sorted values with the number of relations of each (a pair's relations may be any number, their
+    values are few); ``negative_confidences`` has them a row each."""
     rows = rows.where("layer = 'negative'")
     keys = ["subject", "object"]
+    values = rows.groupBy(*keys, "confidence").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("confidence", "n"))).alias("confidences"))
     out = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_set("year")).alias("years"), F.count("*").alias("n_relations"), F.avg("confidence").alias("mean_confidence"), F.min_by("predicate", "ord").alias("predicate"), F.min("ord").alias("first_ord")
     )
-    return out.join(_listed(rows, keys, "pmid", "pmids"), keys, "left").withColumn("pmids", F.coalesce("pmids", F.array().cast("array<string>")))
+    return out.join(values, keys).join(_listed(rows, keys, "pmid", "pmids"), keys, "left").withColumn("pmids", F.coalesce("pmids", F.array().cast("array<string>")))
+
+
+def negative_confidences(rows: DataFrame) -> DataFrame:
+    """(subject, object, ord, confidence): the list of a negative edge's confidences as rows, in the order of ord."""
+    return rows.where("layer = 'negative'").select("subject", "object", "ord", "confidence")
 
 
 def nodes(rows: DataFrame) -> DataFrame:
     """(node, label, entity_type): the first label, and the first type other than OTHER; ends of negative
     relations are nodes too."""
     ends = rows.select(F.explode(F.array(
-        F.struct(F.col("subject").alias("node"), F.col("subject_label").alias("label"), F.col("subject_type").alias("kind"), (F.col("ord") * 2).alias("o")),
-        F.struct(F.col("object").alias("node"), F.col("object_label").alias("label"), F.col("object_type").alias("kind"), (F.col("ord") * 2 + 1).alias("o")),
+        F.struct(F.col("subject").alias("node"), F.col("subject_label").alias("label"), F.col("subject_type").alias("kind"), F.struct("ord", F.lit(0).alias("side")).alias("o")),
+        F.struct(F.col("object").alias("node"), F.col("object_label").alias("label"), F.col("object_type").alias("kind"), F.struct("ord", F.lit(1).alias("side")).alias("o")),
     )).alias("e")).select("e.*")
     typed = F.when(F.col("kind") != "OTHER", F.struct("o", "kind"))
     out = ends.groupBy("node").agg(F.min_by("label", "o").alias("label"), F.min(typed).alias("t"))
@@ -116,22 +147,26 @@ def components(all_nodes: DataFrame, und: DataFrame, rounds: int = 100) -> DataF
 
     Alternating large-star and small-star steps: stars are joined to ever lesser centres, so the number
     of rounds is logarithmic in the size of a component, not its diameter. Each round's edges are cut
-    off by a reliable checkpoint; the rounds end when the edges no longer change.
+    off by a reliable checkpoint; the rounds end when the edges no longer change, and raise if they
+    still do after ``rounds``. The centre of a large star is a hot key, so it is joined as one (skew).
     """
     e = cut(und.where("node > nbr").select(F.col("node").alias("u"), F.col("nbr").alias("v")))
     print_of = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
     state = print_of(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("d"))
+        large = join_hot(both.where("v > u"), least, ["u"], "d", total=2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+        small = join_hot(large, least, ["u"], "d", total=2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         e = cut(small.distinct())
         after = print_of(e)
         if after == state:
             break
         state = after
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return all_nodes.select("node").join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -164,6 +199,9 @@ def repeated_values(edges: DataFrame) -> DataFrame:
     return out.withColumn("predicate", F.coalesce(F.try_element_at("predicates", F.lit(1)), F.col("predicate")))
 
 
-def add_relations(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Evidence rows of an earlier build with those of a further batch behind them, to be merged anew."""
-    return old.unionByName(new)
+def add_relations(parts: tuple[DataFrame, DataFrame], new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored edge parts with the evidence rows of a further batch counted in; the earlier rows aren't read again.
+
+    The batch's ord must lie behind that of all earlier rows if "first" is to mean the first delivered."""
+    counts, pmids = edge_parts(new)
+    return merge_parts(parts[0].unionByName(counts), parts[1].unionByName(pmids))

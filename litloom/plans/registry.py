@@ -207,6 +207,30 @@ def graph_stats(spark, d):
     return graph.statistics(_evidence(spark, d)).drop("summary_json")
 
 
+def edge_repeats_removed(spark, d):
+    """Edges whose lists repeat every value, as a careless merge makes them, and what is left of them."""
+    twice = {c: F.concat(c, F.reverse(c)) for c in ("pmids", "years", "predicates")}
+    e = graph.repeated_values(graph.merge_edges(_evidence(spark, d)).withColumns(twice).withColumn("predicate", F.lit("?")))
+    return _flat(e.withColumn("confidence", F.col("n_removed").cast("double"))).drop("weight").withColumnRenamed("confidence", "n_removed")
+
+
+def negative_confidences(spark, d):
+    """Each negative edge's confidences with the number of its relations that have them."""
+    n = graph.negative_edges(_evidence(spark, d)).select("subject", "object", F.explode("confidences").alias("c"))
+    return n.select("subject", "object", "c.confidence", "c.n")
+
+
+def incremental_edges(spark, d):
+    """Edges of all relations, counted in by three batches one after another; they must be those of edge_merge."""
+    ev = _evidence(spark, d)
+    last = ev.agg(F.max("ord")).first()[0] or 0
+    batch = lambda i: ev.where((F.col("ord") > last * i // 3 - (i == 0)) & (F.col("ord") <= last * (i + 1) // 3))
+    parts = graph.edge_parts(batch(0))
+    for i in (1, 2):
+        parts = graph.add_relations(parts, batch(i))
+    return _flat(graph.edges_of(*parts))
+
+
 def repeated_edge_values(spark, d):
     e = graph.repeated_values(graph.merge_edges(_evidence(spark, d)))
     return e.select("layer", "subject", "object", "predicate", "n_removed")
@@ -400,7 +424,7 @@ def graph_export(spark, d):
 _CORE = (
     gap_candidates_topk, normalize_text, truncate_text, slugs, record_checks, sentence_split, cue_flags, entity_classes, relation_confidence, evidence_lines, article_clean, article_years, corpus_search,
     fetch_selected, xml_round_trip, xml_scan, p6_found, entities_extract, relations_extract, relation_dedupe, edge_merge, temporal_layer, temporal_snapshot, negative_edges, node_types, combined_graph, degree_top10,
-    degree_distribution, components, graph_stats, repeated_edge_values, gap_scores, gap_candidates_cutoff, hop2_pairs, hop3_pairs, novelty_status, synonym_pairs, hypothesis_generate, evidence_join,
+    degree_distribution, components, graph_stats, repeated_edge_values, edge_repeats_removed, negative_confidences, incremental_edges, gap_scores, gap_candidates_cutoff, hop2_pairs, hop3_pairs, novelty_status, synonym_pairs, hypothesis_generate, evidence_join,
     hypothesis_scores, hypothesis_order, hypothesis_places, hypothesis_averages, evidence_filter, evidence_top, evidence_places, gap_filter, gap_sorts, gap_other_pairs, hypothesis_sorts, gap_figures, entity_type_counts, top_entities, polarity_counts, option_lists, years_covered,
     middle_year, relation_articles, run_metadata, graph_export,
 )
@@ -670,6 +694,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT n AS n_nodes, b + m AS n_edges, b AS n_biological_edges, m AS n_semantic_edges, ends / (n * (n - 1)) AS density, ends / n AS avg_degree,
             (SELECT count(*) FROM nodes WHERE node NOT IN (SELECT node FROM und)) AS isolated_nodes_count, (SELECT count(DISTINCT component) FROM comp) AS connected_components, g AS negative_edge_count FROM n, d, e""",
         "repeated_edge_values": _EV + _edges("ed", "(SELECT * FROM ev WHERE layer <> 'negative')") + " SELECT layer, s AS subject, o AS object, split_part(predicates, ';', 1) AS predicate, 0 AS n_removed FROM ed",
+        "edge_repeats_removed": _EV + _edges("ed", "(SELECT * FROM ev WHERE layer <> 'negative')") + """ SELECT layer, s AS subject, o AS object, split_part(predicates, ';', 1) AS predicate, predicates, pmids, years,
+            (npm + length(predicates) - length(replace(predicates, ';', '')) + 1 + CASE WHEN years = '' THEN 0 ELSE length(years) - length(replace(years, ';', '')) + 1 END)::DOUBLE AS n_removed FROM ed""",
+        "negative_confidences": _EV + " SELECT s AS subject, o AS object, c AS confidence, count(*) AS n FROM ev WHERE layer = 'negative' GROUP BY ALL",
+        "incremental_edges": _EV + _edges("ed", "(SELECT * FROM ev WHERE layer <> 'negative')") + _EDGE_SELECT.format("ed"),
         "gap_scores": _EV + und_bio + _gap_sql("und") + " SELECT a AS node_a, b AS node_b, ta AS node_a_type, tb AS node_b_type, cn AS common_neighbors, round(j, 6) AS jaccard, round(aa, 6) AS adamic_adar, round(ra, 6) AS resource_allocation, score, method FROM gap",
         "gap_candidates_topk": _gap_query(20, None) + _GAP_SELECT,
         "gap_candidates_cutoff": _gap_query(20, CUTOFF) + _GAP_SELECT,

@@ -20,6 +20,7 @@ def local_session(app: str = "litloom", cpus: int | str = "*", partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -32,13 +33,18 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO_ROOT, *paths])
+    # Checkpoints that nothing refers to any more are deleted, unless the session says otherwise.
+    spark.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode; a cluster
+    without one is refused, as its machines share no temporary folder."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None)
     if folder is None and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="litloom-ckpt-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -46,7 +52,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in the shared folder (never localCheckpoint)."""
+    """Cut the lineage through a reliable checkpoint in the shared folder (never localCheckpoint).
+
+    Its files go when nothing refers to it any more, if the session's cleaner may delete them (``prepare``)."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -56,9 +64,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores, dealt out to all cores before work that is heavy a row.
+    """A table that is read in fewer splits than half the cores, dealt out to all cores before work that is heavy a row.
 
-    Tables of many files stay as they are read: no shuffle.
+    Tables of more splits, after large files are cut, stay as they are read: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) * 2 < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores else df

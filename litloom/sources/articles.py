@@ -134,10 +134,17 @@ class Client:
         return ""
 
 
-class _Batch(InputPartition):
-    def __init__(self, pmids: list[str]) -> None:
-        super().__init__(pmids)
-        self.pmids = pmids
+class _Batches(InputPartition):
+    """All batches: one task asks for them one after another, so that the service's limit holds for all of them."""
+
+    def __init__(self, batches: list[list[str]]) -> None:
+        super().__init__(batches)
+        self.batches = batches
+
+
+def _named(name: str) -> Callable:
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
 
 
 class _Reader(DataSourceReader):
@@ -145,24 +152,27 @@ class _Reader(DataSourceReader):
         self.o = options
 
     def _client(self) -> Client:
-        get = http_get
-        if "transport" in self.o:
-            module, _, name = self.o["transport"].partition(":")
-            get = getattr(importlib.import_module(module), name)
-        return Client(get, self.o.get("email", ""), self.o.get("apikey", ""), float(self.o.get("interval", "0.34")))
+        return Client(_named(self.o["transport"]) if "transport" in self.o else http_get, self.o.get("email", ""), self.o.get("apikey", ""), float(self.o.get("interval", "0.34")))
 
     def partitions(self) -> list[InputPartition]:
         size = int(self.o.get("batchsize", "100"))
         ids = self._client().search(self.o.get("query", ""), int(self.o.get("maxresults", "200")))
-        return [_Batch(ids[i : i + size]) for i in range(0, len(ids), size)] or [_Batch([])]
+        return [_Batches([ids[i : i + size] for i in range(0, len(ids), size)])]
 
-    def read(self, partition: _Batch):
-        if partition.pmids:
-            yield from parse_document(self._client().fetch_or_drop(partition.pmids))
+    def read(self, partition: _Batches):
+        client, done, total = self._client(), 0, sum(map(len, partition.batches))
+        tell = _named(self.o["progress"]) if "progress" in self.o else None
+        for pmids in partition.batches:
+            yield from parse_document(client.fetch_or_drop(pmids))
+            done += len(pmids)
+            if tell is not None:
+                tell(done, total)
 
 
 class ArticleService(DataSource):
-    """spark.read.format("litloom_articles").options(query=..., batchSize=..., transport="module:function").load()"""
+    """spark.read.format("litloom_articles").options(query=..., batchSize=..., transport="module:function").load()
+
+    progress="module:function": called with the ids asked for so far and in all, after each batch."""
 
     @classmethod
     def name(cls) -> str:

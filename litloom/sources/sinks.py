@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +40,11 @@ def write_gaps_csv(gaps: DataFrame, path: str) -> None:
     gap_table(gaps).write.mode("overwrite").option("header", "true").csv(path)
 
 
-def as_columns(df: DataFrame) -> dict[str, list]:
-    """A small result as column -> values; an empty one has no columns."""
-    rows = df.collect()
+def as_columns(df: DataFrame, most: int = 100_000) -> dict[str, list]:
+    """A small result as column -> values; an empty one has no columns, one of more than ``most`` rows is refused."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them with a sink instead")
     return {c: [r[c] for r in rows] for c in df.columns} if rows else {}
 
 
@@ -106,18 +109,36 @@ def write_lines(lines: DataFrame, path: str) -> None:
     ordered.select("line").write.mode("overwrite").text(path)
 
 
+def _identity(x) -> str:
+    """What a value is told from others by, as a text of any length."""
+    if not isinstance(x, DataFrame):
+        return repr(x)
+    plan = x._jdf.queryExecution().analyzed().canonicalized().treeString()
+    hadoop = x.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = x.sparkSession._jvm.org.apache.hadoop.fs.Path
+    changed = []
+    for f in sorted(x.inputFiles()):
+        p = path(f)
+        status = p.getFileSystem(hadoop).getFileStatus(p)
+        changed.append(f"{f}@{status.getModificationTime()}+{status.getLen()}")
+    return "\n".join([plan, *changed])
+
+
 def cached(folder: str) -> Callable:
-    """A function of DataFrames and plain values whose result is kept as parquet, by what it is called with.
+    """A function of DataFrames and plain values whose result is kept as parquet, by what it is called with: plans in
+    canonical form with the files that they read and when these were changed, plain values as they are.
 
-    An unreadable result is made anew."""
+    Only a result that isn't there is made; other failures are raised."""
 
     def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         def call(spark: SparkSession, *args, **kwargs) -> DataFrame:
-            said = [f.__module__, f.__qualname__, *(repr(a.semanticHash() if isinstance(a, DataFrame) else a) for a in [*args, *sorted(kwargs.items())])]
+            said = [f.__module__, f.__qualname__, *(_identity(a) for a in args), *(f"{k}={_identity(v)}" for k, v in sorted(kwargs.items()))]
             path = f"{folder}/{hashlib.sha256(chr(31).join(said).encode()).hexdigest()}"
             try:
                 return spark.read.parquet(path)
-            except Exception:  # noqa: BLE001
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 f(spark, *args, **kwargs).write.mode("overwrite").parquet(path)
                 return spark.read.parquet(path)
 
