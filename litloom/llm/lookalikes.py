@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from litloom.operators.skew import join_hot
 from litloom.session import cut
 
 # Letters of other alphabets drawn like a Latin letter.
@@ -69,7 +70,8 @@ def mapping() -> dict[str, str]:
         for _ in range(4):
             out[c] = unicodedata.normalize("NFC", "".join(out.get(x, x) for x in out[c]))
     clash = [c for c, t in out.items() if any(x in out for x in t) or unicodedata.normalize("NFC", t) != t]
-    assert not clash, f"conflicting look-alikes: {clash[:5]}"
+    if clash:
+        raise ValueError(f"conflicting look-alikes: {clash[:5]}")
     return out
 
 
@@ -150,14 +152,14 @@ def forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 def same_look(values: DataFrame) -> DataFrame:
     """(field, id_a, id_b): rows that look like the least id of their class but are stored otherwise.
 
-    Only digests are written and shuffled. Classes are found with map-side combining, so a class of
-    a third of all rows is no hot task; classes with one stored value are dropped before the join.
+    Only digests are written and shuffled. Classes are found with map-side combining, and those with one stored
+    value are dropped before the join, in which no class is hot: a class of a third of all rows is no hot task.
     """
     digests = values.select("field", "id", F.unhex(F.md5(F.concat_ws("\x1f", "scope", "form"))).alias("k"), F.unhex(F.md5("raw")).alias("r"), (F.col("form") == "").alias("blank"))
     digests = cut(digests).where("NOT blank").drop("blank")
-    classes = digests.groupBy("field", "k").agg(F.min(F.struct("id", "r")).alias("first"), F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi")
-    classes = classes.select("field", "k", F.col("first.id").alias("id_a"), F.col("first.r").alias("r_a"))
-    return digests.join(classes, ["field", "k"]).where("r <> r_a").select("field", "id_a", F.col("id").alias("id_b"))
+    classes = digests.groupBy("field", "k").agg(F.min(F.struct("id", "r")).alias("first"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    classes = classes.select("field", "k", "n", F.col("first.id").alias("id_a"), F.col("first.r").alias("r_a"))
+    return join_hot(digests, classes, ["field", "k"], "n").where("r <> r_a").select("field", "id_a", F.col("id").alias("id_b"))
 
 
 def found(articles: DataFrame, entities: DataFrame) -> DataFrame:
