@@ -6,7 +6,8 @@ data by rule, checked for conflicts (its targets hold no sources, so one pass is
 compiled into a pattern whose matches are the longest clusters that need rewriting: a base with its
 marks, or a run of mapped characters, or a run of white space. Each cluster is rewritten once and kept.
 
-Defined cases: null stays null; blank text becomes empty; letter case, accents and the presence of
+The form is a key to compare by, not a text to print: letters of other alphabets come out as the Latin
+letters that they look like, in words of their own alphabet too. Defined cases: null stays null; blank text becomes empty; letter case, accents and the presence of
 hyphens stay as they are.
 """
 
@@ -34,6 +35,10 @@ GREEK_ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ν": "v", "ο": "o",
 }
+CHEROKEE_ALIKE = {
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮤ": "W", "Ꮪ": "S", "Ꮩ": "V",
+    "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+}
 HYPHENS = {"‐": "-", "‑": "-"}
 # Compatibility characters drawn differently from what they stand for.
 DRAWN_APART = "ſϐϑϒϕϖϰϱϲϴϵϹẚẛ"
@@ -42,7 +47,7 @@ DRAWN_APART = "ſϐϑϒϕϖϰϱϲϴϵϹẚẛ"
 @cache
 def mapping() -> dict[str, str]:
     """Character -> what it is drawn like. Targets hold no sources and are composed."""
-    alike = {**CYRILLIC_ALIKE, **GREEK_ALIKE, **HYPHENS}
+    alike = {**CYRILLIC_ALIKE, **GREEK_ALIKE, **CHEROKEE_ALIKE, **HYPHENS}
     out: dict[str, str] = {}
     for o in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= o < 0xE000 or 0xAC00 <= o < 0xD7A4:
@@ -60,6 +65,8 @@ def mapping() -> dict[str, str]:
             out[c] = ""
         elif 0xFE00 <= o <= 0xFE0F or 0x180B <= o <= 0x180D or o == 0x034F:
             out[c] = ""  # variation selectors and the grapheme joiner are not drawn
+        elif tag == "<font>" and 0x1D400 <= o <= 0x1D7FF:
+            out[c] = chr(int(rest, 16))  # mathematical letters: the same letter in another weight or slant
         elif tag in ("<wide>", "<narrow>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>") and c not in DRAWN_APART and not rest.startswith("0020 03"):
             out[c] = "".join(chr(int(x, 16)) for x in rest.split())
         elif unicodedata.normalize("NFC", c) != c:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litloom.operators.skew import join_hot
 from litloom.session import cut
 
 CHUNK = 64
@@ -40,14 +41,16 @@ def baskets(articles: DataFrame) -> DataFrame:
 def pair_counts(items: DataFrame, min_count: int = 1, chunk: int = CHUNK) -> DataFrame:
     """(field, item_a, item_b, n_ab) with item_a < item_b by code points, for n_ab >= min_count.
 
-    Items in fewer than min_count baskets can't be in such a pair and are dropped first.
+    Items in fewer than min_count baskets can't be in such a pair and are dropped first. Neither a frequent item
+    nor a huge basket is a hot key of the joins.
     """
     counts = items.groupBy("field", "item").agg(F.count("*").alias("n"))
-    kept = items.join(counts.where(F.col("n") >= min_count).select("field", "item"), ["field", "item"], "left_semi") if min_count > 1 else items
+    total = items.count()
+    kept = join_hot(items, counts.where(F.col("n") >= min_count), ["field", "item"], "n", total=total) if min_count > 1 else items
     # Only baskets that exceed a chunk are in this table: at most one in CHUNK of the items.
     large = kept.groupBy("field", "basket").agg(F.count("*").alias("size")).where(F.col("size") > chunk)
-    large = large.select("field", "basket", F.ceil(F.col("size") / chunk).cast("int").alias("k"))
-    tagged = kept.join(large, ["field", "basket"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    large = large.select("field", "basket", "size", F.ceil(F.col("size") / chunk).cast("int").alias("k"))
+    tagged = join_hot(kept, large, ["field", "basket"], "size", total=total, how="left").withColumn("k", F.coalesce("k", F.lit(1)))
     tagged = tagged.withColumn("c", F.pmod(F.xxhash64("item"), F.col("k")).cast("int"))
     # A chunk takes part in the blocks (i, j) with i <= j that hold it.
     blocks = tagged.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
