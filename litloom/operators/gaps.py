@@ -91,24 +91,33 @@ def top_gaps(scored: DataFrame, k: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("score"), "a", "b").limit(max(k, 0))
 
 
-def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame) -> DataFrame:
+def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
     """top with common_neighbors (sorted), evidence_pmids and max_year of the edges at those neighbours.
 
-    pmids stand in the order of neighbour, incoming before outgoing edges, first relation, place."""
+    pmids stand in the order of neighbour, incoming before outgoing edges, first relation, place. few: top is known
+    to hold a thousand rows at most, so that it may go to every task."""
     a = und.select(F.col("node").alias("node_a"), "nbr")
     b = und.select(F.col("node").alias("node_b"), "nbr")
-    pair = top.select("node_a", "node_b")
+    pair = F.broadcast(top.select("node_a", "node_b")) if few else top.select("node_a", "node_b")
     each = pair.join(a, "node_a").join(b, ["node_b", "nbr"]).select("node_a", "node_b", "nbr")
     common = each.groupBy("node_a", "node_b").agg(F.array_sort(F.collect_list("nbr")).alias("common_neighbors"))
     at = F.explode(F.array(F.struct(F.col("object").alias("nbr"), F.lit(0).alias("side")), F.struct(F.col("subject").alias("nbr"), F.lit(1).alias("side"))))
     incident = edges.select("pmids", F.array_max("years").alias("y"), "first_ord", at.alias("e")).select("pmids", "y", "first_ord", "e.*").join(each.select("nbr").distinct(), "nbr", "left_semi")
-    # Merged for each neighbour first: pairs share most of their neighbours.
-    last = incident.groupBy("nbr").agg(F.max("y").alias("y"))
-    of_nbr = incident.select("nbr", "side", "first_ord", F.posexplode("pmids").alias("p", "pmid")).groupBy("nbr", "pmid").agg(F.min(F.struct("side", "first_ord", "p")).alias("o"))
-    year = each.join(last, "nbr").groupBy("node_a", "node_b").agg(F.max("y").cast("int").alias("max_year"))
-    first = each.join(of_nbr, "nbr").groupBy("node_a", "node_b", "pmid").agg(F.min(F.struct("nbr", "o")).alias("o"))
-    pm = first.groupBy("node_a", "node_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "pmid"))), lambda x: x["pmid"]).alias("evidence_pmids"))
-    out = top.join(common, ["node_a", "node_b"], "left").join(year, ["node_a", "node_b"], "left").join(pm, ["node_a", "node_b"], "left")
+    # Merged for each neighbour first: pairs share most of their neighbours. Edges without pmids give their year.
+    of_nbr = incident.select("nbr", "side", "first_ord", "y", F.posexplode_outer("pmids").alias("p", "pmid"))
+    if dict(edges.dtypes)["first_ord"] in ("int", "bigint"):
+        # Places as one number, so that minima are kept in hash tables instead of sorts.
+        place = lambda *parts: sum((x.cast("decimal(38,0)") * F.lit(str(w)).cast("decimal(38,0)") for x, w in parts), F.lit("0").cast("decimal(38,0)")).cast("decimal(38,0)")
+        within = place((F.col("side"), 10**27), (F.col("first_ord"), 10**8), (F.coalesce("p", F.lit(0)), 1))
+        each = common.select("node_a", "node_b", F.posexplode("common_neighbors").alias("at", "nbr"))
+        at_pair = place((F.col("at"), 2 * 10**27), (F.col("o"), 1))
+    else:
+        within, at_pair = F.struct("side", "first_ord", "p"), F.struct("nbr", "o")
+    of_nbr = of_nbr.groupBy("nbr", "pmid").agg(F.min(within).alias("o"), F.max("y").alias("y"))
+    first = each.join(of_nbr, "nbr").groupBy("node_a", "node_b", "pmid").agg(F.min(at_pair).alias("o"), F.max("y").alias("y"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("pmid").isNotNull(), F.struct("o", "pmid"))))
+    pm = first.groupBy("node_a", "node_b").agg(F.transform(listed, lambda x: x["pmid"]).alias("evidence_pmids"), F.max("y").cast("int").alias("max_year"))
+    out = top.join(common, ["node_a", "node_b"], "left").join(pm, ["node_a", "node_b"], "left")
     return out.withColumn("evidence_pmids", F.coalesce("evidence_pmids", F.array().cast("array<string>")))
 
 
@@ -164,7 +173,7 @@ def find_gaps(rows: DataFrame, cutoff: int | None = None, top_k: int = 20, pairs
     und = cut(graph.undirected(edges))
     nodes = numbered(und, graph.nodes(rows))
     top = cut(named(top_gaps(score(shared_neighbours(und, nodes, pairs, nodes=nodes)), top_k), nodes))
-    full = cut(with_evidence(top, und, edges))
+    full = cut(with_evidence(top, und, edges, few=top_k <= 1000))
     full = full.withColumns({"n_pmids": F.size("evidence_pmids"), "n_common": F.size("common_neighbors")})
     out = novelty(full, und, graph.negative_edges(rows), cutoff)
     return out.select("node_a", "node_b", "node_a_type", "node_b_type", "score", "method", "common_neighbors", "novelty_status", "evidence_pmids", "max_year")
