@@ -3,7 +3,7 @@
 Method: within each query every score is standardised robustly by its median and median absolute
 deviation, squashed by the logistic function so that outliers are bounded, and the bounded values
 are combined by a weighted geometric mean. The logistic falls towards 0, whose logarithm has no bound,
-so deviations beyond ``FAR`` count as ``FAR``: one far outlier can't outvote the other scores.
+so deviations below ``-FAR`` count as ``-FAR``: one far outlier can't outvote the other scores.
 
 Medians come from Spark's mergeable quantile summary with relative rank error 1/ACCURACY: exact for
 groups of up to ACCURACY rows and of bounded memory for a group of any size. Ranks are counted
@@ -26,7 +26,7 @@ ACCURACY = 100_000
 SCORES = ("evidence_score", "novelty_score", "plausibility_score", "feasibility_score")
 #: 1.4826 makes the median absolute deviation of a normal distribution its standard deviation.
 MAD_SCALE, MEAN_SCALE = 1.4826, 1.2533
-#: Standardised deviations are cut off here on either side.
+#: Standardised deviations are cut off here downwards; upwards the logistic bounds them.
 FAR = 8.0
 
 
@@ -56,7 +56,7 @@ def combined(rows: DataFrame, scores: Mapping[str, float], group: str = "query",
         scale = F.when(F.col(f"_mad_{s}") > 0, MAD_SCALE * F.col(f"_mad_{s}")).when(F.col(f"_aad_{s}") > 0, MEAN_SCALE * F.col(f"_aad_{s}"))
         z = (F.coalesce(F.col(s), F.col(f"_min_{s}")) - F.col(f"_med_{s}")) / scale
         z = F.coalesce(z, F.lit(0.0)) - F.when(F.col(s).isNull() & F.col(f"_min_{s}").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
-        z = F.greatest(F.lit(-FAR), F.least(F.lit(FAR), z))
+        z = F.greatest(F.lit(-FAR), z)
         log_sum = log_sum - F.lit(w / total) * F.log1p(F.exp(-z))  # log of 1 / (1 + exp(-z))
     return rows.withColumn("combined_score", F.exp(log_sum)).drop("_g", *[f"_{k}_{s}" for s in scores for k in ("med", "min", "mad", "aad")])
 

@@ -144,7 +144,7 @@ _RANKED = (
         for c in _SCORES
     )
     + " FROM lm JOIN d ON lm.query IS NOT DISTINCT FROM d.query), "
-    "s AS (SELECT query, hypothesis_id, " + " + ".join(f"(-ln(1 + exp(-greatest(-{ranking.FAR}, least({ranking.FAR}, z_{c})))))" for c in _SCORES) + " AS total FROM z) "
+    "s AS (SELECT query, hypothesis_id, " + " + ".join(f"(-ln(1 + exp(-greatest(-{ranking.FAR}, z_{c}))))" for c in _SCORES) + " AS total FROM z) "
 )
 
 
