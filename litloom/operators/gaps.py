@@ -15,7 +15,7 @@ from litloom.functions import text as X
 from litloom.functions import vocab
 from litloom.session import cut
 
-from . import graph
+from . import graph, reach
 from .skew import CHUNK, product
 
 CODES = {t: i for i, t in enumerate(vocab.ENTITY_TYPES)}
@@ -148,18 +148,17 @@ def novelty(pairs: DataFrame, und: DataFrame, negative: DataFrame, cutoff: int |
 
 
 def pairs_at_distance(und: DataFrame, steps: int) -> DataFrame:
-    """(node_a, node_b), node_a < node_b, whose shortest path has exactly 2 or 3 edges; hubs are spread over cells."""
+    """(node_a, node_b), node_a < node_b, whose shortest path has exactly 2 or 3 edges; hubs are spread over cells.
+
+    Walks of three edges far outnumber the pairs they join, so these come from bits (``reach``)."""
     if steps not in (2, 3):
         raise ValueError("distances of 2 and 3 are supported")
+    if steps == 3:
+        return reach.distances(und, 3)
     one = und.select(F.col("node").alias("a"), F.col("nbr").alias("b"))
     step = und.select(F.col("node").alias("b"), F.col("nbr").alias("c"))
-    if steps == 2:
-        two = product(one, step, "b").where("a < c").select("a", F.col("c").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
-        return two.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
-    two = cut(product(one, step, "b").where("a <> c").select("a", F.col("c").alias("b")).distinct().join(one, ["a", "b"], "left_anti"))
-    three = product(two, step, "b").where("a < c").select("a", F.col("c").alias("b")).distinct()
-    three = three.join(one, ["a", "b"], "left_anti").join(two, ["a", "b"], "left_anti")
-    return three.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
+    two = product(one, step, "b").where("a < c").select("a", F.col("c").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
+    return two.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 
 
 def find_gaps(rows: DataFrame, cutoff: int | None = None, top_k: int = 20, pairs=None) -> DataFrame:
