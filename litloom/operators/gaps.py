@@ -121,30 +121,31 @@ def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame, few: bool =
     return out.withColumn("evidence_pmids", F.coalesce("evidence_pmids", F.array().cast("array<string>")))
 
 
-def novelty(pairs: DataFrame, und: DataFrame, negative: DataFrame, cutoff: int | None = None, synonyms: bool = True) -> DataFrame:
-    """pairs (node_a, node_b, n_pmids, n_common) with novelty_status, for any pair, absent nodes included."""
+def novelty(pairs: DataFrame, und: DataFrame, negative: DataFrame, cutoff: int | None = None, synonyms: bool = True, sharing: bool = False) -> DataFrame:
+    """pairs (node_a, node_b, n_pmids, n_common) with novelty_status, for any pair, absent nodes included.
+
+    Distances are asked only for pairs that neither an edge nor a negative relation decides. sharing: every pair is
+    known to share a neighbour in und, so that none are asked."""
     ab = [F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")]
-    p = pairs.select("*", *ab)
     direct = und.where("node < nbr").select(F.col("node").alias("lo"), F.col("nbr").alias("hi"), F.lit(True).alias("is_direct"))
     told = negative if cutoff is None else negative.where(F.array_min("years") <= cutoff)
     told = told.select(F.least("subject", "object").alias("lo"), F.greatest("subject", "object").alias("hi")).distinct().withColumn("is_negative", F.lit(True))
-    p = p.join(direct, ["lo", "hi"], "left").join(told, ["lo", "hi"], "left")
-    near_a = und.select(F.col("node").alias("node_a"), F.col("nbr").alias("m"))
-    near_b = und.select(F.col("node").alias("node_b"), F.col("nbr").alias("n"))
-    key = pairs.select("node_a", "node_b").distinct()
-    from_a = key.join(near_a, "node_a")
-    two = from_a.join(near_b.withColumnRenamed("n", "m"), ["node_b", "m"]).select("node_a", "node_b").distinct().withColumn("is_two", F.lit(True))
-    steps = und.select(F.col("node").alias("m"), F.col("nbr").alias("n"))
-    three = product(from_a, steps, "m").select("node_a", "node_b", "n").distinct().join(near_b, ["node_b", "n"]).select("node_a", "node_b").distinct().withColumn("is_three", F.lit(True))
-    p = p.join(two, ["node_a", "node_b"], "left").join(three, ["node_a", "node_b"], "left")
-    open_case = F.col("is_direct").isNull() & F.col("is_negative").isNull() & F.col("is_two").isNull() & F.col("is_three").isNull()
+    key = pairs.select("node_a", "node_b").distinct().select("*", *ab)
+    key = cut(key.join(direct, ["lo", "hi"], "left").join(told, ["lo", "hi"], "left").drop("lo", "hi"))
+    if sharing:
+        key = key.withColumn("distance", F.lit(2))
+    else:
+        asked = key.where("is_direct IS NULL AND is_negative IS NULL")
+        key = key.join(reach.distances(und, 3, asked), ["node_a", "node_b"], "left")
+    p = pairs.join(key, ["node_a", "node_b"], "left")
+    open_case = F.col("is_direct").isNull() & F.col("is_negative").isNull() & F.col("distance").isNull()
     alike = F.coalesce(X.are_synonyms(F.when(open_case, F.col("node_a")), F.when(open_case, F.col("node_b"))), F.lit(False)) if synonyms else F.lit(False)
     few = (F.col("n_pmids") < 2) & (F.col("n_common") < 2)
     status = (
-        F.when(F.col("is_direct"), "KNOWN").when(F.col("is_negative"), "CONTRADICTED").when(F.col("is_two"), "PARTIALLY_SUPPORTED").when(F.col("is_three"), "INDIRECTLY_SUPPORTED")
+        F.when(F.col("is_direct"), "KNOWN").when(F.col("is_negative"), "CONTRADICTED").when(F.col("distance") == 2, "PARTIALLY_SUPPORTED").when(F.col("distance") == 3, "INDIRECTLY_SUPPORTED")
         .when(open_case & alike, "PARTIALLY_SUPPORTED").when(few, "INSUFFICIENT_EVIDENCE").otherwise("UNEXPLORED")
     )
-    return p.withColumn("novelty_status", status).drop("lo", "hi", "is_direct", "is_negative", "is_two", "is_three")
+    return p.withColumn("novelty_status", status).drop("is_direct", "is_negative", "distance")
 
 
 def pairs_at_distance(und: DataFrame, steps: int) -> DataFrame:

@@ -53,3 +53,19 @@ def test_three_hops_of_dense_layers(spark, monkeypatch):
     und = graph.undirected(layers[0].unionByName(layers[1]).unionByName(layers[2]))
     got = gaps.pairs_at_distance(und, 3)
     assert got.where("left(node_a, 1) = 'p' AND left(node_b, 1) = 's'").count() == got.count() == n * n
+
+
+def test_novelty_of_many_pairs_of_hubs(spark, monkeypatch):
+    """Pairs of hubs that an edge or a negative relation decides are not walked from, and others by bits only."""
+    asked = []
+    real = reach.distances
+    monkeypatch.setattr(gaps.reach, "distances", lambda und, steps, pairs: asked.append(pairs.count()) or real(und, steps, pairs))
+    links = [("h1", f"x{i}") for i in range(50)] + [("h2", f"y{i}") for i in range(50)] + [("x0", "y0"), ("h1", "z"), ("z", "h3"), ("h1", "h4")]
+    und = graph.undirected(spark.createDataFrame(links, "subject string, object string"))
+    told = spark.createDataFrame([("x1", "h2", [2000]), ("h1", "x1", [2000])], "subject string, object string, years array<int>")
+    rows = [("h1", "h2"), ("h2", "h1"), ("h1", "h3"), ("h1", "h4"), ("h2", "x1"), ("h1", "x1"), ("x3", "y3"), ("h1", "gone"), ("z", "z"), (None, "h1")]
+    pairs = spark.createDataFrame([(*r, 0, 0) for r in rows], "node_a string, node_b string, n_pmids int, n_common int")
+    got = {(r.node_a, r.node_b): r.novelty_status for r in gaps.novelty(pairs, und, told, synonyms=False).collect()}
+    i, p, no = "INDIRECTLY_SUPPORTED", "PARTIALLY_SUPPORTED", "INSUFFICIENT_EVIDENCE"
+    assert got == dict(zip(rows, (i, i, p, "KNOWN", "CONTRADICTED", "KNOWN", no, no, p, no)))
+    assert asked == [7]
