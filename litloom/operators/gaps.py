@@ -91,9 +91,11 @@ def top_gaps(scored: DataFrame, k: int = 20) -> DataFrame:
     return scored.orderBy(F.desc("score"), "a", "b").limit(max(k, 0))
 
 
-def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame, few: bool = False) -> DataFrame:
+def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame, few: bool = False, pmids: bool = True) -> DataFrame:
     """top with common_neighbors (sorted), evidence_pmids and max_year of the edges at those neighbours.
 
+    pmids: False leaves out evidence_pmids, by far the most work (every article of every neighbour of each pair).
+
     pmids stand in the order of neighbour, incoming before outgoing edges, first relation, place. few: top is known
     to hold a thousand rows at most, so that it may go to every task."""
     a = und.select(F.col("node").alias("node_a"), "nbr")
@@ -103,6 +105,9 @@ def with_evidence(top: DataFrame, und: DataFrame, edges: DataFrame, few: bool =
     common = each.groupBy("node_a", "node_b").agg(F.array_sort(F.collect_list("nbr")).alias("common_neighbors"))
     at = F.explode(F.array(F.struct(F.col("object").alias("nbr"), F.lit(0).alias("side")), F.struct(F.col("subject").alias("nbr"), F.lit(1).alias("side"))))
     incident = edges.select("pmids", F.array_max("years").alias("y"), "first_ord", at.alias("e")).select("pmids", "y", "first_ord", "e.*").join(each.select("nbr").distinct(), "nbr", "left_semi")
+    if not pmids:
+        years = each.join(incident.groupBy("nbr").agg(F.max("y").alias("y")), "nbr").groupBy("node_a", "node_b").agg(F.max("y").cast("int").alias("max_year"))
+        return top.join(common, ["node_a", "node_b"], "left").join(years, ["node_a", "node_b"], "left")
     # Merged for each neighbour first: pairs share most of their neighbours. Edges without pmids give their year.
     of_nbr = incident.select("nbr", "side", "first_ord", "y", F.posexplode_outer("pmids").alias("p", "pmid"))
     if dict(edges.dtypes)["first_ord"] in ("int", "bigint"):
@@ -162,9 +167,9 @@ def pairs_at_distance(und: DataFrame, steps: int) -> DataFrame:
     return two.select(F.col("a").alias("node_a"), F.col("b").alias("node_b"))
 
 
-def find_gaps(rows: DataFrame, cutoff: int | None = None, top_k: int = 20, pairs=None) -> DataFrame:
+def find_gaps(rows: DataFrame, cutoff: int | None = None, top_k: int = 20, pairs=None, pmids: bool = True) -> DataFrame:
     """Ranked gap candidates from evidence rows (graph.evidence). With a cutoff, edges, degrees and
-    neighbours are those of the snapshot; node types are not."""
+    neighbours are those of the snapshot; node types are not. pmids: False for callers without use for evidence_pmids."""
     edges = graph.merge_edges(rows.where("layer = 'biological'"))
     if cutoff is not None:
         edges = graph.snapshot(edges, cutoff)
@@ -173,7 +178,8 @@ def find_gaps(rows: DataFrame, cutoff: int | None = None, top_k: int = 20, pairs
     und = cut(graph.undirected(edges))
     nodes = numbered(und, graph.nodes(rows))
     top = cut(named(top_gaps(score(shared_neighbours(und, nodes, pairs, nodes=nodes)), top_k), nodes))
-    full = cut(with_evidence(top, und, edges, few=top_k <= 1000))
-    full = full.withColumns({"n_pmids": F.size("evidence_pmids"), "n_common": F.size("common_neighbors")})
-    out = novelty(full, und, graph.negative_edges(rows), cutoff)
-    return out.select("node_a", "node_b", "node_a_type", "node_b_type", "score", "method", "common_neighbors", "novelty_status", "evidence_pmids", "max_year")
+    full = cut(with_evidence(top, und, edges, few=top_k <= 1000, pmids=pmids))
+    # Gaps share a neighbour, so novelty never asks how many pmids there are.
+    full = full.withColumns({"n_pmids": F.size("evidence_pmids") if pmids else F.lit(None).cast("int"), "n_common": F.size("common_neighbors")})
+    out = novelty(full, und, graph.negative_edges(rows), cutoff, sharing=True)
+    return out.select("node_a", "node_b", "node_a_type", "node_b_type", "score", "method", "common_neighbors", "novelty_status", *["evidence_pmids"] * pmids, "max_year")

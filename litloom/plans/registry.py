@@ -344,7 +344,7 @@ def evidence_places(spark, d):
 
 
 def gap_filter(spark, d):
-    g = gaps.find_gaps(_evidence(spark, d), top_k=200)
+    g = gaps.find_gaps(_evidence(spark, d), top_k=200, pmids=False)
     kept = analysis.filter_gaps(g, ("CONTRADICTED", "PARTIALLY_SUPPORTED"), 0.7, ("DISEASE",))
     return sinks.gap_table(analysis.sort_gaps(kept, "Novelty"))
 

@@ -3,7 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from litloom.operators import gaps, graph, reach
+from litloom.operators import analysis, gaps, graph, reach
+from litloom.plans import registry
+from litloom.sources import sinks
 
 
 def _graph(seed, n, m):
@@ -69,3 +71,22 @@ def test_novelty_of_many_pairs_of_hubs(spark, monkeypatch):
     i, p, no = "INDIRECTLY_SUPPORTED", "PARTIALLY_SUPPORTED", "INSUFFICIENT_EVIDENCE"
     assert got == dict(zip(rows, (i, i, p, "KNOWN", "CONTRADICTED", "KNOWN", no, no, p, no)))
     assert asked == [7]
+
+
+def test_gap_filter_lists_no_pmids(spark, monkeypatch, tmp_path):
+    """The 200 gaps of gap_filter are told apart without the lists of articles that its result doesn't have."""
+    ends = [*((f"p{i}", "PATHWAY", f"g{j}", "GENE") for i in range(3) for j in range(4)), *((f"p{i}", "PATHWAY", f"d{j}", "DISEASE") for i in range(3) for j in range(5))]
+    rows = [(i, a, b, ta, tb, "activates", str(i), 2000 + i % 7, 0.9, "positive") for i, (a, ta, b, tb) in enumerate(ends)] + [(99, "g0", "d0", "GENE", "DISEASE", "activates", "99", 2001, 0.9, "negative")]
+    spark.createDataFrame(rows, "rel_ord long, subject string, object string, subject_type string, object_type string, predicate string, pmid string, publication_year int, confidence double, polarity string").write.parquet(f"{tmp_path}/relations.parquet")
+    full = gaps.find_gaps(graph.evidence(spark.read.parquet(f"{tmp_path}/relations.parquet")), top_k=200)
+    want = sinks.gap_table(analysis.sort_gaps(analysis.filter_gaps(full, ("CONTRADICTED", "PARTIALLY_SUPPORTED"), 0.7, ("DISEASE",)), "Novelty")).collect()
+    real = gaps.with_evidence
+
+    def slim(*args, **kw):
+        out = real(*args, **kw)
+        assert "evidence_pmids" not in out.columns
+        return out
+
+    monkeypatch.setattr(gaps, "with_evidence", slim)
+    got = registry.gap_filter(spark, str(tmp_path)).collect()
+    assert got == want and len(got) >= 20 and sum(x.novelty_status == "CONTRADICTED" for x in got) == 1 and all(x.max_year for x in got)
